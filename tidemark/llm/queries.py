@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, token_count
+from . import language_id, line_dedup, mixing, packing, quality_qda, quality_rules, token_count
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op2_packing": packing.op2_packing,
     "op3_token_counts": token_count.op3_token_counts,
+    "op4_language_id": language_id.op4_language_id,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_quality_classifier": quality_qda.op10_quality_classifier,
 }
 
 ORACLES = {"op1_source_mixing": mixing.OP1_SQL}
