@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, language_id, line_dedup, mixing, packing, quality_qda, quality_rules, simhash, token_count
+from . import ann, language_id, line_dedup, mixing, packing, quality_qda, quality_rules, simhash, suffix_dedup, token_count
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_counts": token_count.op3_token_counts,
     "op4_language_id": language_id.op4_language_id,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_nearest_neighbours": ann.op7_nearest_neighbours,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
