@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,39 +29,55 @@ LONGEST_REMEMBERED = 64
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
-class WordTokens:
-    """Ids of whole texts, as little-endian uint32 bytes, for a tokenizer that drops white space.
+def _byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as one character: printable Latin-1 ones as themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class WordTokens(dict):
+    """Ids of words, as little-endian uint32 bytes, for a lower-casing tokenizer that drops white space.
 
     Its splitting pattern never looks beyond white space, so a text's ids are those of its words one after another;
-    words are given to the library once and remembered.
+    words are given to the library when they are first met and remembered. A Latin word of letters alone is one
+    pre-token, and a stop or comma after it another, so these go straight to the library's merges.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.bytes = _byte_characters()
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def __missing__(self, word: str) -> bytes:
+        lower = word.lower()
+        if lower[-1] in ".," and len(word) > 1:
+            made = self[lower[:-1]] + self[lower[-1]] if _latin(lower[:-1]) else self._encode(word)
+        elif _latin(lower):
+            made = array("I", [x.id for x in self.merge(lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+        else:
+            made = self._encode(word)
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = made
+        return made
 
     def ids(self, text: str) -> bytes:
         if _ODD_SPACE.search(text) or any(x in text for x in self.special):
-            return self._encode([text])[0]
-        words = text.split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        missing = list({w for w in words if w not in known})
-        new = dict(zip(missing, self._encode(missing), strict=True))
-        if len(known) + len(new) > REMEMBERED:
-            self.known = known = {}
-        out = b"".join([known[w] if w in known else new[w] for w in words]) if known else b""
-        known.update((w, x) for w, x in new.items() if len(w) <= LONGEST_REMEMBERED)
-        return out if out or not words else self._encode([text])[0]
+            return self._encode(text)
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+def _latin(word: str) -> bool:
+    return word.isalpha() and max(word) < "\u0250"
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -136,8 +153,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int,
         tokens = _word_tokens(tokenizer)
         for batch in batches:
             row, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                data = tokens.ids(t or "") + end
+            for i, data in enumerate(batch.column(1).to_pylist()):
+                data = tokens.ids(data or "") + end
                 n = len(data) // 4
                 for at in range(0, n, window):
                     part = data[4 * at : 4 * (at + window)]
