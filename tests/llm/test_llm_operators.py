@@ -342,3 +342,22 @@ def test_digest_of_kept_text(spark):
         assert r.n_bytes == len(texts[r.doc_id])
         if not r.n_removed:
             assert r.kept_sha256 == hashlib.sha256(texts[r.doc_id]).hexdigest()
+
+
+def test_similar_groups(spark):
+    rnd = random.Random(12)
+    texts, origin = [], []
+    for g, text in enumerate(corpus(13, 25, 1)):
+        words = [f"{text}{rnd.randrange(400)}" for _ in range(200)]
+        for k in range(rnd.choice([1, 2, 6])):
+            copy = list(words)
+            for _ in range(k and 2):
+                copy[rnd.randrange(200)] = f"edit{rnd.random()}"
+            texts.append(" ".join(copy))
+            origin.append(g)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, [*texts, "", None, "end"])).collect()}
+    first = {}
+    for i, g in enumerate(origin):
+        first.setdefault(g, i)
+    assert all(got[i] == first[g] for i, g in enumerate(origin))
+    assert got[len(texts)] == got[len(texts) + 1] == len(texts) and got[None] is None

@@ -2,52 +2,37 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import fresh_path, shared_folder, stored
+
+__all__ = ["fresh_path", "shared_folder", "stored"]
+
 #: Bytes that part words and pad lines: \x20 and \x09-\x0D.
 SPACE = b" \t\n\x0b\x0c\r"
 #: The same as a Java regular expression class.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 NOT_SPACE_CLASS = "[^\\x20\\x09-\\x0D]"
 
-_own_folder: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="tidemark-"))
-        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
-    return f"file://{_own_folder[0]}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+#: A value held by more than one in so many rows is joined by itself; there are fewer such values than this.
+HOT = 2_000
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a Parquet table in the shared folder and read it again.
+def join_apart(rows: DataFrame, values: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows joined with values, which say in n how many of the total rows hold each of them.
 
-    A lost executor then costs a re-read and not a second run of what made the table.
+    Values held by more than a HOT-th of all rows, of which there are fewer than HOT, are sent to the rows; only the
+    others deal rows out by value, so no task gets a hot value's rows.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    most = max(1, total // HOT)
+    hot = F.broadcast(values.where(F.col("n") > most))
+    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(values.where(F.col("n") <= most), on)).drop("n")
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

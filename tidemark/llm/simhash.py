@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_bytes
+from .common import join_apart, stored, table, text_bytes
 from .components import connected_components
 
 #: Fingerprints beyond which a third block is taken, so that anchors stay sparsely visited.
@@ -156,9 +156,97 @@ def simhash_groups(docs: DataFrame, words: int = 3, threshold: int = 2, text: st
     return own.join(groups, "fp").select(key, "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, words: int = 3, threshold: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without the rows that are near copies of a row with a smaller key; rows with a null key all stay."""
-    groups = simhash_groups(docs, words, threshold, text, key)
+#: Bits of the long fingerprints, tables of anchors, and bits of a table that anchors hold as they are.
+BITS, TABLES, PLAIN_BITS = 256, 15, 12
+_SEED = 20
+
+
+def long_fingerprint(words: list[bytes], size: int) -> np.ndarray:
+    """BITS-bit SimHash of the distinct shingles of `size` words, as bytes; zero for no words."""
+    grams = set(words) if size == 1 else {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+    counts = np.zeros(BITS, dtype=np.int64)
+    grams = list(grams)
+    for at in range(0, len(grams), 65_536):
+        data = b"".join([xxhash.xxh3_128_digest(g) + xxhash.xxh3_128_digest(g, 1) for g in grams[at : at + 65_536]])
+        counts += np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(-1, BITS // 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(grams))
+
+
+def _long_fingerprints(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
+    """key, w and s: long fingerprints of the distinct words and of the distinct shingles of each whole text."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            cut = [t.lower().split() for t in text_bytes(part.column(1))]
+            made = [pa.array([long_fingerprint(w, n).tobytes() for w in cut], pa.binary()) for n in (1, words)]
+            yield pa.record_batch([part.column(0), *made], names=[key, "w", "s"])
+
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, w binary, s binary")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key and component_id of each row, linking texts whose shingle SimHashes agree in at least `similarity` of their bits.
+
+    Two long fingerprints serve two ends. That of distinct words changes little between near copies and picks the
+    candidates: each of TABLES tables takes other bits of it, 23 for a Golay anchor (visited within covering radius
+    plus one) and PLAIN_BITS that an anchor holds as they are, so that unrelated texts hardly ever meet. At an anchor
+    all visitors are compared with the least key at home there, not with each other, so large groups cost no more
+    than their rows. That of shingles of `words` words decides. A Jaccard similarity of 0.8 means about 0.86 equal
+    bits; candidates are missed with a small probability, as in any banded search.
+
+    Texts with equal fingerprints, all texts without words too, are one class from the start. Null keys have no
+    component (null). Repeated rows share one. Other columns are not read. An empty table gives no rows.
+    """
+    own = stored(_long_fingerprints(docs, words, text, key), "long-fingerprints")
+    classes = stored(own.where(F.col(key).isNotNull()).groupBy("w", "s").agg(F.min(key).alias("node")), "long-classes")
+    node_type = dict(classes.dtypes)["node"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = PerfectCode(23, 0b101011100011, 3, 1)
+        rng = np.random.default_rng(_SEED)
+        chosen = [rng.permutation(BITS)[: code.length + PLAIN_BITS] for _ in range(TABLES)]
+        weights = np.int64(1) << np.arange(code.length + PLAIN_BITS, dtype=np.int64)
+        for part in parts:
+            for at in range(0, part.num_rows, 2_000):
+                piece = part.slice(at, 2_000)
+                bits = np.unpackbits(np.frombuffer(b"".join(piece.column(1).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8), axis=1)
+                for t, places in enumerate(chosen):
+                    value = bits[:, places].astype(np.int64) @ weights
+                    word, plain = value & ((1 << code.length) - 1), value >> code.length
+                    syndrome = code.syndrome(word)
+                    n = code.within[syndrome, 1]
+                    row = np.repeat(np.arange(len(n)), n)
+                    k = code.first[syndrome[row]] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    anchor = ((plain[row] << 12 | (word[row] ^ code.patterns[k]) >> code.degree) << 8) | t
+                    yield pa.record_batch([pa.array(anchor), piece.column(0).take(pa.array(row)), pa.array(code.excess[k] == 0)], names=["anchor", "node", "home"])
+
+    visits = stored(classes.select("node", "w").mapInArrow(run, f"anchor long, node {node_type}, home boolean"), "anchor-visits")
+    leaders = visits.groupBy("anchor").agg(F.min(F.when(F.col("home"), F.col("node"))).alias("leader"), F.count(F.lit(1)).alias("n"))
+    leaders = stored(leaders.where(F.col("leader").isNotNull() & (F.col("n") > 1)), "anchor-leaders")
+    met = join_apart(visits.select("anchor", "node"), leaders, ["anchor"], visits.count())
+    met = met.where(F.col("node") != F.col("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+
+    def agree(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if part.num_rows:
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for c in (2, 3))
+                near = np.bitwise_count(x ^ y).sum(axis=1) <= (1 - similarity) * BITS
+                yield part.filter(pa.array(near)).select(["a", "b"])
+
+    print_of = classes.select("node", "s")
+    met = met.join(print_of.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(print_of.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    edges = stored(met.select("a", "b", "sa", "sb").mapInArrow(agree, f"a {node_type}, b {node_type}"), "similar-links")
+    labels = connected_components(edges)
+    named = classes.join(labels, "node", "left").select("w", "s", F.coalesce("label", "node").alias("component_id"))
+    return own.join(named, ["w", "s"], "left").select(key, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs without the rows that are near copies of a row with a smaller key; rows with a null key all stay.
+
+    Of repeated rows with the least key of a group all stay, as they cannot be told apart by key.
+    """
+    groups = similar_groups(docs, words, similarity, text, key)
     gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct()
     return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
 
