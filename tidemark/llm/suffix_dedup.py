@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_bytes
+from .common import join_apart, stored, table, text_bytes
 
 LENGTH = 400
 #: Leading bytes of a suffix by which buckets are cut.
@@ -256,11 +256,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, large: int = LARGE, bu
     """
     id_type = dict(docs.dtypes)["did"]
     segments = stored(_segments(docs, length, buffer), "segments")
-    grams = segments.groupBy("g").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("differ")).where("n > 1").select("g", "differ")
-    met = stored(segments.join(grams, "g"), "segments-met")
+    grams = segments.groupBy("g").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("differ")).where("n > 1")
+    grams = stored(grams, "grams")
+    total = segments.count()
+    met = stored(join_apart(segments, grams.select("g", "n", "differ"), ["g"], total), "segments-met")
     classes = met.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.first("differ").alias("differ"), F.min_by(F.struct("did", "th", "p", "windows", "before"), F.struct("did", "th", "p")).alias("x"))
     classes = stored(classes, "segment-classes")
-    whole = met.join(classes.where("n > 1").select("g", "c"), ["g", "c"], "left_semi").select("did", "th", F.col("p").alias("start"), (F.col("p") + F.col("windows") - 1 + length).alias("end"))
+    whole = join_apart(met.drop("differ"), classes.where("n > 1").select("g", "c", "n"), ["g", "c"], total)
+    whole = whole.select("did", "th", F.col("p").alias("start"), (F.col("p") + F.col("windows") - 1 + length).alias("end"))
     differing = classes.where("differ")
     sizes = differing.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > large).select("g", F.lit(True).alias("large"))
     differing = differing.join(sizes, "g", "left").select("x.*", F.coalesce("large", F.lit(False)).alias("large"))
