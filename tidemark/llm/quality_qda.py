@@ -23,6 +23,8 @@ FEATURES = ("log_words", "log_word_length", "symbols", "upper", "digits", "stops
 TO_POOLED, TO_DIAGONAL = 0.1, 0.1
 #: Least variance of a feature within a class.
 FLOOR = 1e-4
+#: Characters, words and lines of usual text that a document's own are joined by, so that a few words say little.
+CHARS, WORDS, LINES = 60, 12, 8
 #: Documents at or above are taken for good.
 THRESHOLD = 0.3
 
@@ -34,7 +36,7 @@ _STOPS, _BANGS = b".,;:", b"!?"
 
 
 def statistics(text: bytes) -> list[float]:
-    """Raw statistics in the order of FEATURES; shares are pairs (count, of how many)."""
+    """Raw statistics in the order of FEATURES; shares come from (count, of how many, usual ones added, usual share)."""
     words = text.split()
     n, size = len(words), len(text)
     lacks = lambda of: size - len(text.translate(None, of))
@@ -44,11 +46,11 @@ def statistics(text: bytes) -> list[float]:
     ends = [w[-1:] for w in words]
     marked = sum(1 for e in ends if e in _ENDS)
     pairs = [
-        (symbols, size), (lacks(_UPPER), letters), (lacks(_DIGITS), size), (lacks(_STOPS), size), (lacks(_BANGS), size),
-        (sum(map(eq, words, words[1:])), n - 1), (len(set(words)), n), (len(lines) - len(set(lines)), len(lines)), (marked, n),
-        (sum(1 for w in words if len(w) > 30), n),
+        (symbols, size, CHARS, 0), (lacks(_UPPER), letters, CHARS, 0.03), (lacks(_DIGITS), size, CHARS, 0), (lacks(_STOPS), size, CHARS, 0.02), (lacks(_BANGS), size, CHARS, 0),
+        (sum(map(eq, words, words[1:])), n, WORDS, 0), (len(set(words)), n, WORDS, 0.9), (len(lines) - len(set(lines)), len(lines), LINES, 0), (marked, n, WORDS, 0),
+        (sum(1 for w in words if len(w) > 30), n, WORDS, 0),
     ]
-    return [float(n), chars / n if n else 0.0, *(min(1.0, k / m) if m > 0 else 0.0 for k, m in pairs)]
+    return [float(n), (chars + 5.0 * WORDS) / (n + WORDS), *((k + more * usual) / (m + more) for k, m, more, usual in pairs)]
 
 
 _ENDS = {bytes([x]) for x in _SYMBOLS + _BANGS}
