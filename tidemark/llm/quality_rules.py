@@ -37,7 +37,7 @@ def _share(pattern: str) -> Column:
 RULES = (
     Rule("mean_word_length", lambda: ~(F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))).between(2.0, 14.0)),
     Rule("symbols_per_word", lambda: F.col("n_symbols") > 0.1 * F.col("n_words")),
-    Rule("duplicate_lines", lambda: F.col("n_dup_lines") > 0.3 * F.col("__n_lines")),
+    Rule("duplicate_lines", lambda: F.col("n_dup_lines") > 0.4 * F.col("__n_lines")),
     Rule("repeated_words", lambda: F.col("n_repeat_words") > 0.3 * F.col("n_words")),
     Rule("words_without_letter", lambda: _share("^[^\\p{L}]+$") > 0.3),
     Rule("capital_words", lambda: _share("^\\P{L}*\\p{Lu}[\\p{Lu}\\P{L}]+$") > 0.3),
