@@ -114,3 +114,34 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
 
 def op9_quality_rules(spark, sf_dir):
     return apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+), windows AS (
+  SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3)
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM windows) WHERE n > 1
+  ) GROUP BY doc_id
+), base AS (
+  SELECT w.doc_id, words, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         NOT word_chars / (1e0 * greatest(n_words, 1)) BETWEEN 2e0 AND 14e0 OR n_symbols > 1e-1 * n_words OR n_dup_lines > 4e-1 * n_lines OR n_repeat_words > 3e-1 * n_words
+         OR len(list_filter(words, lambda x: regexp_matches(x, '^[^\pL]+$'))) > 3e-1 * n_words
+         OR len(list_filter(words, lambda x: regexp_matches(x, '^\PL*\p{Lu}[\p{Lu}\PL]+$'))) > 3e-1 * n_words
+         OR len(list_filter(words, lambda x: regexp_matches(x, '[!?]{2,}$'))) > 3e-1 * n_words AS rejected
+  FROM base
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+FROM judged
+"""

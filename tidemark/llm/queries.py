@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality_classifier": quality_qda.op10_quality_classifier,
 }
 
-ORACLES = {"op1_source_mixing": mixing.OP1_SQL}
+ORACLES = {"op1_source_mixing": mixing.OP1_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op9_quality_rules": quality_rules.OP9_SQL}
