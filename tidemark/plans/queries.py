@@ -562,3 +562,36 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(path).select("mmsi", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+
+
+@query(f"{WITH_PS} SELECT 'playback:' || p.mmsi AS value, p.event_id, p.mmsi FROM positions p JOIN vessel_static s ON s.mmsi = p.mmsi WHERE p.mmsi % 10 = 0")
+def stream_requests(spark, sf_dir):
+    """Request lines that arrive as text, answered from a static history."""
+    path, lines = fresh_path(spark, "answers"), fresh_path(spark, "requests")
+    X.requests(spark, sf_dir).write.text(lines)
+    answers = T.request_stream(spark.readStream.text(lines), X.positions(spark, sf_dir))
+    T.run_available(answers, fresh_path(spark, "stream"), lambda df, n: df.write.mode("overwrite").parquet(f"{path}/n={n}"), "append")
+    return spark.read.parquet(path).select(F.concat(F.lit("playback:"), F.col("mmsi").cast("string")).alias("value"), "event_id", "mmsi")
+
+
+@query(f"{WITH_P} SELECT feed, count(*) AS n, count(DISTINCT mmsi) AS vessels FROM positions GROUP BY feed")
+def stream_union(spark, sf_dir):
+    """Two feeds as one stream."""
+    path = fresh_path(spark, "union")
+    feeds = []
+    for f in ("A", "B"):
+        at = fresh_path(spark, f"feed-{f}")
+        X.positions(spark, sf_dir).where(F.col("feed") == f).to(POSITION).write.parquet(at)
+        feeds.append(io.stream_positions(spark, at))
+    T.run_available(T.union_feed_stream(*feeds), fresh_path(spark, "stream"), lambda df, n: df.write.mode("overwrite").parquet(f"{path}/n={n}"), "append")
+    return spark.read.parquet(path).groupBy("feed").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mmsi").alias("vessels"))
+
+
+@query(f"""{STALE} SELECT mmsi, zone, "tsDetected",
+  CASE WHEN "tsOut" IS NULL AND "tsDetected" < (SELECT max(ts) FROM positions) - INTERVAL 5 DAY AND mmsi IN (SELECT mmsi FROM gone) THEN (SELECT max(ts) FROM positions) ELSE "tsOut" END AS "tsOut" FROM episodes""")
+def stream_stale_close(spark, sf_dir):
+    """Stale episodes closed from a stream of newest positions, by the stream's own clock."""
+    store, write = T.stale_sink(spark, fresh_path(spark, "episodes"), BOX)
+    store.write(E.zone_episodes(P.within_box(X.positions(spark, sf_dir), BOX), zone_catalog(spark, (0,))), -1)
+    T.run_available(T.latest_position_stream(_stream(spark, sf_dir, 1)), fresh_path(spark, "stream"), write)
+    return store.read().select("mmsi", "zone", "tsDetected", "tsOut")

@@ -24,7 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at.getParent())
+    # only a path that exists can be marked, so its place is held by an empty folder until it is written
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    fs.delete(at, True)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

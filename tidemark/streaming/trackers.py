@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import in_box, within
 from ..functions.vessels import split_command
+from ..operators.episodes import close_stale
 from ..sources.io import upsert_episodes
 from ..sources.schemas import EPISODE
 from ..sources.store import SnapshotStore
@@ -116,6 +117,22 @@ def request_stream(requests: DataFrame, history: DataFrame) -> DataFrame:
     return asked.join(history, "mmsi")
 
 
+def stale_sink(spark: SparkSession, path: str, box: tuple[float, float, float, float], days: float = 5) -> tuple[SnapshotStore, Callable[[DataFrame, int], None]]:
+    """A store of episodes and the foreachBatch function for newest positions that closes stale ones in it.
+
+    Positions come from latest_position_stream; the newest time among them is the clock, so a run can be repeated.
+    """
+    store = SnapshotStore(spark, path, EPISODE)
+
+    def write(latest: DataFrame, batch: int) -> None:
+        now = latest.agg(F.max("ts").cast("timestamp_ntz")).first()[0]
+        if now is not None:
+            rows = latest.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+            store.write(close_stale(rows, store.previous(batch), now, box, days), batch)
+
+    return store, write
+
+
 def board_refresh(positions: DataFrame, refresh: Callable[[DataFrame, int], None], checkpoint: str, every: str = "100 seconds"):
     """Starts a query that calls refresh with each batch (to recompute boards on the current snapshot)."""
     return positions.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(refresh).start()
