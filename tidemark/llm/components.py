@@ -8,20 +8,35 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """node and label, the end of its chain of parents; chains halve in every round."""
+    while True:
+        of = parents.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        nxt = stored(parents.join(of, "label").select("node", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved")), "cc-parents")
+        parents = nxt.select("node", "label")
+        if nxt.where("moved").isEmpty():
+            return parents
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node and label, the least node it can reach, of each node in edges (a, b; two columns of one orderable type).
 
-    Every round takes the least label among neighbours and then the label's own label, so that distances halve; the
-    table of labels is stored after each round. Groups of any size are only ever summed by key, never gathered.
+    Every round hangs each node below its least neighbour, follows those chains to their ends, and draws the edges
+    anew between the ends; edges within a tree vanish, so what is left shrinks at least by half. Tables are stored
+    after each round. Groups of any size are only ever summed by key, never gathered.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b"), "cc-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "cc-labels")
+    edges = stored(edges.where("a <> b").select("a", "b").distinct(), "cc-edges")
+    labels = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        of = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        nxt = stored(step.join(of, "label").select("node", F.least("label", "further").alias("label"), "old"), "cc-labels")
-        changed = nxt.where(F.col("label") != F.col("old")).isEmpty()
-        labels = nxt.select("node", "label")
-        if changed:
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        roots = _roots(stored(least.select("node", F.least("node", "m").alias("label")), "cc-parents"))
+        if labels is None:
+            labels = roots
+        else:
+            ends = roots.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            labels = stored(labels.join(ends, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "cc-labels")
+        left = edges.join(roots.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(roots.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        edges = stored(left.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "cc-edges")
+        if edges.isEmpty():
             return labels
