@@ -151,13 +151,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose text scores at least THRESHOLD, with the columns of docs; one pass after learning.
+    """The rows of docs whose text scores at least THRESHOLD, with the columns of docs.
 
+    Statistics are taken twice, to learn and to score, so that no text is shuffled to a label or a verdict.
     Rows with a null text are scored as empty texts; other columns pass through unread.
     """
     import pyspark.sql.types as T
 
-    stats = stored(document_statistics(docs.join(labels.where(F.col("quality").isin(0, 1)).select(key).distinct(), key, "left_semi"), text, key), "quality-stats")
+    stats = stored(document_statistics(docs, text, key), "quality-stats")
     held = F.coalesce(id_crc32(F.col(f"`{key}`"), 5) == 0, F.lit(True))
     model = fit(stats.where(~held), labels, key)
     at = docs.columns.index(text)

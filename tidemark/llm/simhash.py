@@ -159,6 +159,8 @@ def simhash_groups(docs: DataFrame, words: int = 3, threshold: int = 2, text: st
 #: Bits of the long fingerprints, tables of anchors, and bits of a table that anchors hold as they are.
 BITS, TABLES, PLAIN_BITS = 256, 15, 12
 _SEED = 20
+#: Keys of near copies that are sent to all tasks (16 MB of them); with more, texts are shuffled to them.
+MOST_SENT = 1 << 20
 
 
 def long_fingerprint(words: list[bytes], size: int) -> np.ndarray:
@@ -247,7 +249,9 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, t
     Of repeated rows with the least key of a group all stay, as they cannot be told apart by key.
     """
     groups = similar_groups(docs, words, similarity, text, key)
-    gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct()
+    gone = stored(groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct(), "near-copies")
+    if gone.count() <= MOST_SENT:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
 
 
