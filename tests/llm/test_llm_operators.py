@@ -361,3 +361,15 @@ def test_similar_groups(spark):
         first.setdefault(g, i)
     assert all(got[i] == first[g] for i, g in enumerate(origin))
     assert got[len(texts)] == got[len(texts) + 1] == len(texts) and got[None] is None
+
+
+def test_every_pair_at_an_anchor_is_decided(spark, monkeypatch):
+    """Visitors that are not linked to their leader, among themselves and with those that are, by rounds and by pairs."""
+    linked = {(2, 3), (3, 4), (1, 5), (5, 6), (10, 11)}
+    visits = spark.createDataFrame([(7, i) for i in range(1, 12)] + [(8, i) for i in (2, 6, 9)], "anchor long, node long")
+    for few in (0, 1_000):
+        monkeypatch.setattr(simhash, "FEW_PAIRS", few)
+        for block in (2, 512):
+            monkeypatch.setattr(simhash, "PAIR_BLOCK", block)
+            out = simhash.linked_at_anchors(visits, lambda met: met.where(" OR ".join(f"a = {a} AND b = {b}" for a, b in linked)))
+            assert {r.node: r.label for r in out.collect()} == {2: 2, 3: 2, 4: 2, 1: 1, 5: 1, 6: 1, 10: 10, 11: 10}

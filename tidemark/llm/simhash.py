@@ -12,7 +12,7 @@ different fingerprints lie within 2 bits of one another's centre, which bounds w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -159,6 +159,8 @@ def simhash_groups(docs: DataFrame, words: int = 3, threshold: int = 2, text: st
 #: Bits of the long fingerprints, tables of anchors, and bits of a table that anchors hold as they are.
 BITS, TABLES, PLAIN_BITS = 256, 15, 12
 _SEED = 20
+#: Open pairs for each visit at which all are decided at once, and visitors of an anchor that are paired in one block.
+FEW_PAIRS, PAIR_BLOCK = 2, 512
 #: Keys of near copies that are sent to all tasks (16 MB of them); with more, texts are shuffled to them.
 MOST_SENT = 1 << 20
 
@@ -186,14 +188,59 @@ def _long_fingerprints(docs: DataFrame, words: int, text: str, key: str) -> Data
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, w binary, s binary")
 
 
+def linked_at_anchors(visits: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node and label (least node of the group) of each linked node, from anchor visits (anchor, node; no repeats).
+
+    decide keeps the pairs (a, b) that are linked. Any two visitors of an anchor are decided, unless links found before
+    join them. In a round the visitors of each anchor are compared with one leader of another group there, and groups are
+    joined; so near copies cost their rows. Once the open pairs, those of different groups, are few, or a round has left
+    over half of them, all of them are decided: what shares anchors without being linked can only be known by pairs.
+    """
+    node_type = dict(visits.dtypes)["node"]
+    total = (visits := stored(visits, "anchor-visits")).count()
+    shared = stored(visits.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-anchors")
+    visits = live = stored(join_apart(visits, shared, ["anchor"], total), "shared-visits")
+    labels = visits.select("node", F.col("node").alias("label")).limit(0)
+    seen = edges = visits.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    live, before, no = live.withColumn("label", F.col("node")), None, 0
+    while True:
+        here = live.groupBy("anchor", "label").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64(F.lit(no), "node").alias("h"), "node")).alias("first"))
+        at = here.groupBy("anchor").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"), F.min(F.struct("first.h", "first.node", "label")).alias("leader"))
+        at = stored(at.where(F.col("n") * F.col("n") > F.col("within")), "open-anchors")
+        size, still = at.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
+        if not still:
+            return labels
+        every = still <= FEW_PAIRS * size or before is not None and 2 * still > before
+        if every:
+            met = _open_pairs(join_apart(live, at.select("anchor", "n", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks")), ["anchor"], total))
+        else:
+            led = join_apart(live, at.select("anchor", "n", F.col("leader.node").alias("to"), F.col("leader.label").alias("other")), ["anchor"], total)
+            met = led.where(F.col("label") != F.col("other")).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
+        met = stored(met.distinct().join(seen, ["a", "b"], "left_anti"), "met-pairs")
+        found = stored(decide(met).select("a", "b"), "similar-links")
+        edges = edges.union(found)
+        labels = connected_components(edges)
+        if every:
+            return labels
+        seen, before, no = seen.union(met), still, no + 1
+        live = stored(visits.join(labels, "node", "left").select("anchor", "node", F.coalesce("label", "node").cast(node_type).alias("label")), "labelled-visits")
+
+
+def _open_pairs(live: DataFrame) -> DataFrame:
+    """Pairs a < b of nodes of different labels at one anchor; large anchors are cut into blocks, joined two by two."""
+    own = live.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a = own.select("anchor", F.col("own").alias("i"), F.col("other").alias("j"), F.col("node").alias("a"), F.col("label").alias("x"))
+    b = own.select("anchor", F.col("other").alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("label").alias("y"))
+    return a.join(b, ["anchor", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("x") != F.col("y"))).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and component_id of each row, linking texts whose shingle SimHashes agree in at least `similarity` of their bits.
 
     Two long fingerprints serve two ends. That of distinct words changes little between near copies and picks the
     candidates: each of TABLES tables takes other bits of it, 23 for a Golay anchor (visited within covering radius
-    plus one) and PLAIN_BITS that an anchor holds as they are, so that unrelated texts hardly ever meet. At an anchor
-    all visitors are compared with the least key at home there, not with each other, so large groups cost no more
-    than their rows. That of shingles of `words` words decides. A Jaccard similarity of 0.8 means about 0.86 equal
+    plus one) and PLAIN_BITS that an anchor holds as they are, so that unrelated texts hardly ever meet. Any two
+    visitors of an anchor are compared, or in one group already (linked_at_anchors). That of shingles of `words` words decides. A Jaccard similarity of 0.8 means about 0.86 equal
     bits; candidates are missed with a small probability, as in any banded search.
 
     Texts with equal fingerprints, all texts without words too, are one class from the start. Null keys have no
@@ -220,13 +267,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
                     row = np.repeat(np.arange(len(n)), n)
                     k = code.first[syndrome[row]] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                     anchor = ((plain[row] << 12 | (word[row] ^ code.patterns[k]) >> code.degree) << 8) | t
-                    yield pa.record_batch([pa.array(anchor), piece.column(0).take(pa.array(row)), pa.array(code.excess[k] == 0)], names=["anchor", "node", "home"])
+                    yield pa.record_batch([pa.array(anchor), piece.column(0).take(pa.array(row))], names=["anchor", "node"])
 
-    visits = stored(classes.select("node", "w").mapInArrow(run, f"anchor long, node {node_type}, home boolean"), "anchor-visits")
-    leaders = visits.groupBy("anchor").agg(F.min(F.when(F.col("home"), F.col("node"))).alias("leader"), F.count(F.lit(1)).alias("n"))
-    leaders = stored(leaders.where(F.col("leader").isNotNull() & (F.col("n") > 1)), "anchor-leaders")
-    met = join_apart(visits.select("anchor", "node"), leaders, ["anchor"], visits.count())
-    met = met.where(F.col("node") != F.col("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    visits = classes.select("node", "w").mapInArrow(run, f"anchor long, node {node_type}").distinct()
 
     def agree(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -236,9 +279,12 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
                 yield part.filter(pa.array(near)).select(["a", "b"])
 
     print_of = classes.select("node", "s")
-    met = met.join(print_of.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(print_of.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    edges = stored(met.select("a", "b", "sa", "sb").mapInArrow(agree, f"a {node_type}, b {node_type}"), "similar-links")
-    labels = connected_components(edges)
+
+    def decide(met: DataFrame) -> DataFrame:
+        met = met.join(print_of.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(print_of.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        return met.select("a", "b", "sa", "sb").mapInArrow(agree, f"a {node_type}, b {node_type}")
+
+    labels = linked_at_anchors(visits, decide)
     named = classes.join(labels, "node", "left").select("w", "s", F.coalesce("label", "node").alias("component_id"))
     return own.join(named, ["w", "s"], "left").select(key, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
 
