@@ -373,3 +373,18 @@ def test_every_pair_at_an_anchor_is_decided(spark, monkeypatch):
             monkeypatch.setattr(simhash, "PAIR_BLOCK", block)
             out = simhash.linked_at_anchors(visits, lambda met: met.where(" OR ".join(f"a = {a} AND b = {b}" for a, b in linked)))
             assert {r.node: r.label for r in out.collect()} == {2: 2, 3: 2, 4: 2, 1: 1, 5: 1, 6: 1, 10: 10, 11: 10}
+
+
+def test_similar_groups_of_replaced_passages(spark):
+    """An appended, replaced or dropped passage, at a shingle similarity just over 0.8."""
+    rnd = random.Random(17)
+    new = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for g in range(150):
+        words = new(300)
+        copy = [words + new(70), words[:100] + new(28) + words[128:], words[:-57]][g % 3]
+        a, b = (set(zip(*[w[i:] for i in range(5)], strict=False)) for w in (words, copy))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.83
+        texts += [" ".join(words), " ".join(copy)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, [*texts, "end"])).collect()}
+    assert all(got[i] == i - i % 2 for i in range(len(texts)))

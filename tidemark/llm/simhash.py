@@ -156,8 +156,11 @@ def simhash_groups(docs: DataFrame, words: int = 3, threshold: int = 2, text: st
     return own.join(groups, "fp").select(key, "fp", "component_id")
 
 
-#: Bits of the long fingerprints, tables of anchors, and bits of a table that anchors hold as they are.
-BITS, TABLES, PLAIN_BITS = 256, 15, 12
+#: Bits of the long fingerprints.
+BITS = 256
+#: Anchors of a text, and minimal hashes of its shingles that make one. Texts of a Jaccard similarity j share none with
+#: probability (1 - j ** DEPTH) ** BANDS, however they differ: 3e-6 at 0.8, 1e-8 at 0.85.
+BANDS, DEPTH = 32, 5
 _SEED = 20
 #: Open pairs for each visit at which all are decided at once, and visitors of an anchor that are paired in one block.
 FEW_PAIRS, PAIR_BLOCK = 2, 512
@@ -176,16 +179,48 @@ def long_fingerprint(words: list[bytes], size: int) -> np.ndarray:
     return np.packbits(2 * counts > len(grams))
 
 
-def _long_fingerprints(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
-    """key, w and s: long fingerprints of the distinct words and of the distinct shingles of each whole text."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of `words` words; a shorter text is one shingle, without words none."""
+    w = text.lower().split()
+    grams = map(b" ".join, zip(*[w[i:] for i in range(words)], strict=False)) if len(w) > words else [b" ".join(w)] if w else []
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), dtype=np.uint64))
+
+
+class MinHashes:
+    """Anchors of shingle sets: each combines DEPTH minima of the set under as many hash functions."""
+
+    def __init__(self):
+        rng = np.random.default_rng(_SEED)
+        self.mul, self.add, self.mix = (rng.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1) for n in (BANDS * DEPTH, BANDS * DEPTH, (BANDS, DEPTH)))
+        self.band = rng.integers(0, 1 << 64, BANDS, dtype=np.uint64)
+
+    def anchors(self, hashes: np.ndarray) -> np.ndarray:
+        least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, dtype=np.uint64)
+        for at in range(0, len(hashes), 4_096):
+            x = hashes[at : at + 4_096, None] * self.mul + self.add
+            # low bits of a product depend on low bits only, so the high ones are folded in and multiplied again
+            x = (x ^ x >> np.uint64(32)) * self.mul
+            least = np.minimum(least, (x ^ x >> np.uint64(29)).min(axis=0))
+        y = (least.reshape(BANDS, DEPTH) * self.mix)
+        y = ((y ^ y >> np.uint64(31)) * self.mix).sum(axis=1, dtype=np.uint64) + self.band
+        return (y ^ y >> np.uint64(30)).view(np.int64)
+
+
+def _shingled(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
+    """key, s (long fingerprint of the distinct shingles) and anchors of each whole text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minima = MinHashes()
         for part in parts:
-            cut = [t.lower().split() for t in text_bytes(part.column(1))]
-            made = [pa.array([long_fingerprint(w, n).tobytes() for w in cut], pa.binary()) for n in (1, words)]
-            yield pa.record_batch([part.column(0), *made], names=[key, "w", "s"])
+            for at in range(0, part.num_rows, 1_000):
+                piece = part.slice(at, 1_000)
+                prints, anchors = [], []
+                for t in text_bytes(piece.column(1)):
+                    prints.append(long_fingerprint(t.lower().split(), words).tobytes())
+                    anchors.append(minima.anchors(shingle_hashes(t, words)))
+                yield pa.record_batch([piece.column(0), pa.array(prints, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], names=[key, "s", "anchors"])
 
-    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, w binary, s binary")
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, s binary, anchors array<long>")
 
 
 def linked_at_anchors(visits: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -237,39 +272,17 @@ def _open_pairs(live: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and component_id of each row, linking texts whose shingle SimHashes agree in at least `similarity` of their bits.
 
-    Two long fingerprints serve two ends. That of distinct words changes little between near copies and picks the
-    candidates: each of TABLES tables takes other bits of it, 23 for a Golay anchor (visited within covering radius
-    plus one) and PLAIN_BITS that an anchor holds as they are, so that unrelated texts hardly ever meet. Any two
-    visitors of an anchor are compared, or in one group already (linked_at_anchors). That of shingles of `words` words decides. A Jaccard similarity of 0.8 means about 0.86 equal
-    bits; candidates are missed with a small probability, as in any banded search.
+    Candidates are texts that share one of BANDS anchors, each made of minimal hashes of their shingles. Whether two
+    texts meet depends on the similarity of their shingle sets alone, not on where or how they differ. Any two visitors
+    of an anchor are compared, or in one group already (linked_at_anchors).
 
-    Texts with equal fingerprints, all texts without words too, are one class from the start. Null keys have no
-    component (null). Repeated rows share one. Other columns are not read. An empty table gives no rows.
+    Texts with equal anchors and fingerprints, all texts without words too, are one class from the start. Null keys have
+    no component (null). Repeated rows share one. Other columns are not read. An empty table gives no rows.
     """
-    own = stored(_long_fingerprints(docs, words, text, key), "long-fingerprints")
-    classes = stored(own.where(F.col(key).isNotNull()).groupBy("w", "s").agg(F.min(key).alias("node")), "long-classes")
+    own = stored(_shingled(docs, words, text, key), "shingled")
+    classes = stored(own.where(F.col(key).isNotNull()).groupBy("s", "anchors").agg(F.min(key).alias("node")), "shingle-classes")
     node_type = dict(classes.dtypes)["node"]
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = PerfectCode(23, 0b101011100011, 3, 1)
-        rng = np.random.default_rng(_SEED)
-        chosen = [rng.permutation(BITS)[: code.length + PLAIN_BITS] for _ in range(TABLES)]
-        weights = np.int64(1) << np.arange(code.length + PLAIN_BITS, dtype=np.int64)
-        for part in parts:
-            for at in range(0, part.num_rows, 2_000):
-                piece = part.slice(at, 2_000)
-                bits = np.unpackbits(np.frombuffer(b"".join(piece.column(1).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8), axis=1)
-                for t, places in enumerate(chosen):
-                    value = bits[:, places].astype(np.int64) @ weights
-                    word, plain = value & ((1 << code.length) - 1), value >> code.length
-                    syndrome = code.syndrome(word)
-                    n = code.within[syndrome, 1]
-                    row = np.repeat(np.arange(len(n)), n)
-                    k = code.first[syndrome[row]] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                    anchor = ((plain[row] << 12 | (word[row] ^ code.patterns[k]) >> code.degree) << 8) | t
-                    yield pa.record_batch([pa.array(anchor), piece.column(0).take(pa.array(row))], names=["anchor", "node"])
-
-    visits = classes.select("node", "w").mapInArrow(run, f"anchor long, node {node_type}").distinct()
+    visits = classes.select("node", F.explode("anchors").alias("anchor"))
 
     def agree(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -285,8 +298,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
         return met.select("a", "b", "sa", "sb").mapInArrow(agree, f"a {node_type}, b {node_type}")
 
     labels = linked_at_anchors(visits, decide)
-    named = classes.join(labels, "node", "left").select("w", "s", F.coalesce("label", "node").alias("component_id"))
-    return own.join(named, ["w", "s"], "left").select(key, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
+    named = classes.join(labels, "node", "left").select("s", "anchors", F.coalesce("label", "node").alias("component_id"))
+    return own.join(named, ["s", "anchors"], "left").select(key, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
