@@ -388,3 +388,19 @@ def test_similar_groups_of_replaced_passages(spark):
         texts += [" ".join(words), " ".join(copy)]
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, [*texts, "end"])).collect()}
     assert all(got[i] == i - i % 2 for i in range(len(texts)))
+
+
+def test_similar_groups_are_exact(spark):
+    """Pairs on either side of a shingle similarity of 0.8."""
+    rnd = random.Random(19)
+    new = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts, near = [], []
+    for _ in range(200):
+        words = new(200)
+        copy = words + new(rnd.randint(30, 90))
+        a, b = (set(zip(*[w[i:] for i in range(5)], strict=False)) for w in (words, copy))
+        near.append(len(a & b) >= 0.8 * len(a | b))
+        texts += [" ".join(words), " ".join(copy)]
+    assert 20 < sum(near) < 180
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, [*texts, "end"])).collect()}
+    assert [got[2 * g] == got[2 * g + 1] for g in range(len(near))] == near

@@ -156,7 +156,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, threshold: int = 2, text: st
     return own.join(groups, "fp").select(key, "fp", "component_id")
 
 
-#: Bits of the long fingerprints.
+#: Bits of the long fingerprints, which estimate a similarity; groups are decided by exact ones.
 BITS = 256
 #: Anchors of a text, and minimal hashes of its shingles that make one. Texts of a Jaccard similarity j share none with
 #: probability (1 - j ** DEPTH) ** BANDS, however they differ: 3e-6 at 0.8, 1e-8 at 0.85.
@@ -207,22 +207,52 @@ class MinHashes:
 
 
 def _shingled(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
-    """key, s (long fingerprint of the distinct shingles) and anchors of each whole text."""
+    """key, s (128-bit hash of the set of shingles) and anchors of each whole text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minima = MinHashes()
         for part in parts:
             for at in range(0, part.num_rows, 1_000):
                 piece = part.slice(at, 1_000)
-                prints, anchors = [], []
+                digests, anchors = [], []
                 for t in text_bytes(piece.column(1)):
-                    prints.append(long_fingerprint(t.lower().split(), words).tobytes())
-                    anchors.append(minima.anchors(shingle_hashes(t, words)))
-                yield pa.record_batch([piece.column(0), pa.array(prints, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], names=[key, "s", "anchors"])
+                    hashes = shingle_hashes(t, words)
+                    digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    anchors.append(minima.anchors(hashes))
+                yield pa.record_batch([piece.column(0), pa.array(digests, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], names=[key, "s", "anchors"])
 
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, s binary, anchors array<long>")
 
 
+def _similar_pairs(met: DataFrame, docs: DataFrame, words: int, similarity: float, text: str, key: str) -> DataFrame:
+    """Those of the pairs (a, b) of keys whose texts' shingle sets have a Jaccard similarity of at least `similarity`."""
+    node_type = dict(docs.dtypes)[key]
+    nodes = stored(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met-nodes")
+    if nodes.count() <= MOST_SENT:
+        nodes = F.broadcast(nodes)
+
+    def shingle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, 1_000):
+                piece = part.slice(at, 1_000)
+                sets = [shingle_hashes(t, words).view(np.int64) for t in text_bytes(piece.column(1))]
+                yield pa.record_batch([piece.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "h"])
+
+    def agree(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            near = []
+            for i in range(part.num_rows):
+                x, y = (part.column(c)[i].values.to_numpy() for c in (2, 3))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                near.append(both >= similarity * (len(x) + len(y) - both))
+            yield part.filter(pa.array(near, pa.bool_())).select(["a", "b"])
+
+    read = docs.select(F.col(key).alias("node"), F.col(text).cast("string")).join(nodes, "node", "left_semi")
+    sets = stored(read.mapInArrow(shingle, f"node {node_type}, h array<long>"), "shingle-sets")
+    met = met.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
+    return met.select("a", "b", "ha", "hb").mapInArrow(agree, f"a {node_type}, b {node_type}")
+
+
 def linked_at_anchors(visits: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node and label (least node of the group) of each linked node, from anchor visits (anchor, node; no repeats).
 
@@ -270,36 +300,22 @@ def _open_pairs(live: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and component_id of each row, linking texts whose shingle SimHashes agree in at least `similarity` of their bits.
+    """key and component_id of each row, linking texts whose sets of shingles have a Jaccard similarity of at least `similarity`.
 
     Candidates are texts that share one of BANDS anchors, each made of minimal hashes of their shingles. Whether two
     texts meet depends on the similarity of their shingle sets alone, not on where or how they differ. Any two visitors
-    of an anchor are compared, or in one group already (linked_at_anchors).
+    of an anchor are compared by their sets of 64-bit shingle hashes, or in one group already (linked_at_anchors).
 
-    Texts with equal anchors and fingerprints, all texts without words too, are one class from the start. Null keys have
+    Texts with equal sets, all texts without words too, are one class from the start. Null keys have
     no component (null). Repeated rows share one. Other columns are not read. An empty table gives no rows.
     """
     own = stored(_shingled(docs, words, text, key), "shingled")
-    classes = stored(own.where(F.col(key).isNotNull()).groupBy("s", "anchors").agg(F.min(key).alias("node")), "shingle-classes")
-    node_type = dict(classes.dtypes)["node"]
+    classes = stored(own.where(F.col(key).isNotNull()).groupBy("s").agg(F.min(key).alias("node"), F.first("anchors").alias("anchors")), "shingle-classes")
     visits = classes.select("node", F.explode("anchors").alias("anchor"))
 
-    def agree(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            if part.num_rows:
-                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for c in (2, 3))
-                near = np.bitwise_count(x ^ y).sum(axis=1) <= (1 - similarity) * BITS
-                yield part.filter(pa.array(near)).select(["a", "b"])
-
-    print_of = classes.select("node", "s")
-
-    def decide(met: DataFrame) -> DataFrame:
-        met = met.join(print_of.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(print_of.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        return met.select("a", "b", "sa", "sb").mapInArrow(agree, f"a {node_type}, b {node_type}")
-
-    labels = linked_at_anchors(visits, decide)
-    named = classes.join(labels, "node", "left").select("s", "anchors", F.coalesce("label", "node").alias("component_id"))
-    return own.join(named, ["s", "anchors"], "left").select(key, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
+    labels = linked_at_anchors(visits, lambda met: _similar_pairs(met, docs, words, similarity, text, key))
+    named = classes.join(labels, "node", "left").select("s", F.coalesce("label", "node").alias("component_id"))
+    return own.select(key, "s").join(named, "s", "left").select(key, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
