@@ -136,3 +136,13 @@ def test_odd_rows_pass_the_stages(spark, tmp_path):
             assert stage(spark, docs, str(tmp_path)).columns == docs.columns
             assert stage(spark, docs, str(tmp_path)).count() <= 3 * len(table)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(table)
+
+
+def test_run_returns_the_packed_ids(spark):
+    """Windows can be filled from the result alone."""
+    windows = defaultdict(dict)
+    for r in corpus_pipeline.run(spark, SMALL).collect():
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32
+        windows[r.sequence_id][r.offset] = r.ids
+    for pieces in windows.values():
+        assert sorted(pieces) == list(np.cumsum([0] + [len(pieces[o]) for o in sorted(pieces)])[:-1])

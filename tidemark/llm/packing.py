@@ -1,8 +1,8 @@
 """Packing tokenised documents into fixed windows by best-fit decreasing.
 
 Documents are tokenised once, in Spark tasks, into pieces: a document longer than the window is first cut into full
-windows, and what is left of it is one shorter piece. Pieces are small rows; they are dealt evenly into groups of at
-most about GROUP pieces, and each group is packed by itself: longest piece first, each into the open window with the
+windows, and what is left of it is one shorter piece. Pieces' lengths are dealt evenly into groups of at most about GROUP
+pieces, and each group is packed by itself: longest piece first, each into the open window with the
 least room that still takes it, found in a segment tree over remaining capacities.
 """
 
@@ -25,6 +25,8 @@ GROUP = 65_536
 #: Words whose ids a worker remembers; beyond it the memory is emptied and built anew.
 REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 64
+#: Column of the pieces' numbers.
+PIECE = "__piece"
 #: Separators on which Python and the vocabulary's own white space disagree.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -145,36 +147,41 @@ class BestFit:
         return bin_, self.window - room
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """Full windows and the shorter rest of each document: key, start, length, ids_crc32, doc_tokens (and ids)."""
+def tokenised_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Full windows and the shorter rest of each document: key, start, length, doc_tokens, ids, and a number of each piece.
+
+    Numbers are told apart by the task, so the table is to be stored before it is read twice.
+    """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         tokens = _word_tokens(tokenizer)
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            row, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, data in enumerate(batch.column(1).to_pylist()):
-                data = tokens.ids(data or "") + end
-                n = len(data) // 4
-                for at in range(0, n, window):
-                    part = data[4 * at : 4 * (at + window)]
-                    row.append(i)
-                    start.append(at)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    total.append(n)
-                    if with_ids:
-                        ids.append(np.frombuffer(part, dtype="<u4").astype(np.int32))
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-            yield pa.record_batch(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=names)
-
-    names = [key, "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
-    schema = f"`{key}` {dict(docs.dtypes)[key]}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+            for first in range(0, batch.num_rows, 1_000):
+                part = batch.slice(first, 1_000)
+                row, start, length, total, ids = [], [], [], [], []
+                for i, data in enumerate(part.column(1).to_pylist()):
+                    data = np.frombuffer(tokens.ids(data or "") + end, dtype="<u4").astype(np.int32)
+                    for at in range(0, len(data), window):
+                        row.append(i)
+                        start.append(at)
+                        ids.append(data[at : at + window])
+                        length.append(len(ids[-1]))
+                        total.append(len(data))
+                numbers = np.arange(number, number + len(row))
+                number += len(row)
+                columns = [part.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, total))]
+                yield pa.record_batch([*columns, pa.array(ids, pa.list_(pa.int32())), pa.array(numbers, pa.int64())], names=[key, "start", "length", "doc_tokens", "ids", PIECE])
+
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, start long, length long, doc_tokens long, ids array<int>, {PIECE} long"
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, schema)
 
 
 def pack(pieces: DataFrame, window: int) -> DataFrame:
-    """Adds sequence_id and offset to rows with a length from 1 to window; pieces is cheap to read twice."""
+    """Adds sequence_id and offset to rows of PIECE and a length from 1 to window; pieces is cheap to read twice."""
     n = pieces.count()
     groups = max(1, -(-n // GROUP))
 
@@ -186,7 +193,7 @@ def pack(pieces: DataFrame, window: int) -> DataFrame:
             return
         whole = pa.Table.from_batches(held)
         lengths = whole.column("length").to_numpy()
-        order = np.argsort(-lengths, kind="stable")
+        order = np.lexsort((whole.column(PIECE).to_numpy(), -lengths))
         fit = BestFit(window)
         at = [fit.place(n) for n in lengths[order].tolist()]
         first = TaskContext.get().partitionId() << 32
@@ -194,8 +201,7 @@ def pack(pieces: DataFrame, window: int) -> DataFrame:
         whole = whole.append_column("sequence_id", pa.array([first + b for b, _ in at], pa.int64())).append_column("offset", pa.array([o for _, o in at], pa.int64()))
         yield from whole.combine_chunks().to_batches(max_chunksize=10_000)
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return pieces.repartition(groups).mapInArrow(run, schema)
+    return pieces.repartition(groups).mapInArrow(run, f"{PIECE} long, length long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int, end_id: int, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -204,10 +210,23 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int, end_id: int, te
     Each document's ids are followed by end_id; null and empty texts are that id alone. Repeated rows, also with the
     same or a null key, are packed once each. Other columns are not read. An empty table gives no rows. Sequence ids
     are unique, not dense: the group in the upper and the window in the lower 32 bits. Within a group equal lengths
-    keep the order in which they were dealt, so the packing is the same whenever a task runs again.
+    keep the order of their pieces' numbers, so the packing is the same whenever a task runs again. Places are found
+    from lengths alone and joined to the pieces; ids_crc32 is taken from the ids as they are placed.
     """
-    pieces = stored(tokenised_pieces(docs, tokenizer, window, end_id, text, key, with_ids), "pieces")
-    return pack(pieces, window)
+    pieces = stored(tokenised_pieces(docs, tokenizer, window, end_id, text, key), "pieces")
+    places = stored(pack(pieces.select(PIECE, "length"), window).drop("length"), "places")
+    names = [key, "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids + ["sequence_id", "offset"]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            flat, cut = ids.values.to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy()
+            crc = [zlib.crc32(flat[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+            yield batch.append_column("ids_crc32", pa.array(crc, pa.int64())).select(names)
+
+    placed = pieces.join(places, PIECE).drop(PIECE)
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
+    return placed.mapInArrow(digest, schema)
 
 
 def op2_packing(spark, sf_dir):
