@@ -75,9 +75,9 @@ def gps_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(ms, F.lit(1).alias("msgtype"), "mmsi", "sog", "cog", "rot", F.col("trueHeading").alias("heading"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), "event_id")
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A playback line for each tenth vessel, and as many malformed ones."""
-    vessels = vessel_static(spark, sf_dir).where("mmsi % 10 = 0").select("mmsi")
+def requests(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
+    """A playback line for each vessel, or each tenth one, and as many malformed ones."""
+    vessels = vessel_static(spark, sf_dir).where(F.col("mmsi") % every == 0).select("mmsi")
     good = vessels.select(F.concat(F.lit("playback:"), F.col("mmsi").cast("string")).alias("value"))
     return good.union(vessels.select(F.concat(F.lit("playback:x"), F.col("mmsi").cast("string")).alias("value")))
 

@@ -473,6 +473,11 @@ def all_vessel_latest(spark, sf_dir):
     return W.all_vessel_latest(X.positions(spark, sf_dir), "53300000")
 
 
+@query(f"{WITH_P} SELECT {RECORDS}, 'all' AS cmap, 'all-vessel' AS payload FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY ts DESC, event_id DESC) AS n FROM positions WHERE mmsi > 0) WHERE n = 1")
+def every_vessel_latest(spark, sf_dir):
+    return W.all_vessel_latest(X.positions(spark, sf_dir))
+
+
 @query(f"{WITH_P} SELECT date_trunc('second', ts) AS ts, mmsi, longitude, latitude, rot, cog FROM positions WHERE sog <> 0")
 def playback_gps(spark, sf_dir):
     return W.playback_gps(X.gps_positions(spark, sf_dir))
@@ -483,6 +488,11 @@ def playback_requests(spark, sf_dir):
     return W.tracks_for_requests(X.requests(spark, sf_dir), X.positions(spark, sf_dir)).select("value", "event_id", "mmsi")
 
 
+@query(f"{WITH_PS} SELECT 'playback:' || p.mmsi AS value, p.event_id, p.mmsi FROM positions p JOIN vessel_static s ON s.mmsi = p.mmsi")
+def every_playback_request(spark, sf_dir):
+    return W.tracks_for_requests(X.requests(spark, sf_dir, 1), X.positions(spark, sf_dir)).select("value", "event_id", "mmsi")
+
+
 @query(f"{WITH_P} SELECT event_id, mmsi, sog FROM positions WHERE sog <> 0")
 def moving_positions(spark, sf_dir):
     return P.moving(X.positions(spark, sf_dir)).select("event_id", "mmsi", "sog")
@@ -562,18 +572,25 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(path).select("mmsi", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-
-
-@query(f"{WITH_PS} SELECT 'playback:' || p.mmsi AS value, p.event_id, p.mmsi FROM positions p JOIN vessel_static s ON s.mmsi = p.mmsi WHERE p.mmsi % 10 = 0")
-def stream_requests(spark, sf_dir):
+def _answered(spark, sf_dir, every: int = 10) -> DataFrame:
     """Request lines that arrive as text, answered from a static history."""
     path, lines = fresh_path(spark, "answers"), fresh_path(spark, "requests")
-    X.requests(spark, sf_dir).write.text(lines)
+    X.requests(spark, sf_dir, every).write.text(lines)
     answers = T.request_stream(spark.readStream.text(lines), X.positions(spark, sf_dir))
     T.run_available(answers, fresh_path(spark, "stream"), lambda df, n: df.write.mode("overwrite").parquet(f"{path}/n={n}"), "append")
     return spark.read.parquet(path).select(F.concat(F.lit("playback:"), F.col("mmsi").cast("string")).alias("value"), "event_id", "mmsi")
 
 
+@query(f"{WITH_PS} SELECT 'playback:' || p.mmsi AS value, p.event_id, p.mmsi FROM positions p JOIN vessel_static s ON s.mmsi = p.mmsi WHERE p.mmsi % 10 = 0")
+def stream_requests(spark, sf_dir):
+    return _answered(spark, sf_dir)
+
+
+@query(f"{WITH_PS} SELECT 'playback:' || p.mmsi AS value, p.event_id, p.mmsi FROM positions p JOIN vessel_static s ON s.mmsi = p.mmsi")
+def every_stream_request(spark, sf_dir):
+    return _answered(spark, sf_dir, 1)
+
+
 @query(f"{WITH_P} SELECT feed, count(*) AS n, count(DISTINCT mmsi) AS vessels FROM positions GROUP BY feed")
 def stream_union(spark, sf_dir):
     """Two feeds as one stream."""
