@@ -205,7 +205,7 @@ def test_nearest_neighbours(spark):
     for q, found in got.items():
         d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
         order = [i for i in np.lexsort((np.arange(800), d)) if i != q][:10]
-        assert sorted(found) == list(range(1, len(found) + 1))
+        assert sorted(found) == list(range(1, 11))
         assert all(abs(s - d[i]) < 1e-12 for i, s in found.values())
         hits += len({i for i, _ in found.values()} & set(order))
         if 300 <= q < 500:
@@ -229,6 +229,50 @@ def test_nearest_neighbours_recall(spark):
     assert hits / total >= 0.9
 
 
+def vectors(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+
+
+@pytest.mark.parametrize("rows", [[1.0, 100.0], [1.0, 100.0, -50.0], [5.0]])
+def test_nearest_neighbours_of_few_rows_far_apart(spark, rows):
+    """With k or fewer other rows all are returned."""
+    out = ann.nearest_neighbours(vectors(spark, [[v] * 16 for v in rows]), F.lit(True)).collect()
+    got = {(r.query_id, r.rank): (r.vec_id, round(r.score, 9)) for r in out}
+    want = {}
+    for i, a in enumerate(rows):
+        others = sorted((round(4 * abs(a - b), 9), j) for j, b in enumerate(rows) if j != i)
+        want |= {(i, n + 1): (j, d) for n, (d, j) in enumerate(others)}
+    assert got == want and len(out) == len(want)
+
+
+@pytest.mark.parametrize("block", [2, 4_096])
+def test_nearest_neighbours_of_outliers_and_scales(spark, monkeypatch, block):
+    """Outlying queries and clusters of other scales: exactly ten each; small blocks lead to second probes, large ones to all blocks."""
+    monkeypatch.setattr(ann, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((1501, 16))
+    x[1000:] = x[0] + rng.standard_normal((501, 16)) * rng.choice([0.1, 3.0], (501, 1))
+    x[0] *= 100
+    x[100] = 1000
+    x = x.astype(np.float32).astype(float)
+    found = ann._searched(vectors(spark, x), F.col("vec_id") % 50 == 0, 10, "vec_id", "embedding").collect()
+    got, hits = defaultdict(list), 0
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append(r.vec_id)
+    assert sorted(got) == list(range(0, 1501, 50)) and {len(v) for v in got.values()} == {10}
+    assert {r.asked for r in found} >= {1, 3} and (block > 2 or 2 in {r.asked for r in found})
+    for q, ids in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        hits += len({i for i in np.argsort(d, kind="stable")[:11] if i != q} & set(ids))
+    assert hits / (10 * len(got)) >= 0.9
+
+
+def test_nearest_neighbours_of_repeated_rows_and_ids(spark):
+    rows = [(1, [1.0, 0.0])] * 30 + [(1, [2.0, 0.0])] + [(2, [3.0, 0.0])] * 2 + [(3, [4.0, 0.0])]
+    out = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") > 1, k=2).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out) == [(2, 1, 1, 1.0), (2, 2, 3, 1.0), (3, 1, 2, 1.0), (3, 2, 1, 2.0)]
+
+
 def groups(fps, ids, threshold):
     kinds = sorted(set(fps))
     root = {f: f for f in kinds}

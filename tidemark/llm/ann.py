@@ -1,10 +1,15 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 A table hashes a vector x to the cells floor((a_i . x + b_i) / width) of a few Gaussian projections a_i. A query visits
-a table's buckets in the order of their estimated success, the probability that a neighbour at the distance met in a
-sample falls into the bucket given where the query lies in its own cells, until the visited probabilities reach a
-target. Buckets meet their probes in one shuffle; large ones are split into blocks that each get the probes; in a block
-distances are computed by matrix products, the best are measured exactly, and tables' candidates are merged.
+a table's buckets in the order of their estimated success, the probability that a neighbour at an assumed distance falls
+into the bucket given where the query lies in its own cells, until the visited probabilities reach a target. Buckets
+meet their probes in one shuffle; large ones are split into blocks that each get the probes; in a block distances are
+computed by matrix products, the best are measured exactly, and tables' candidates are merged.
+
+The first round assumes the distance met in a sample. Then each query's own k-th distance tells how likely its probes
+would have met a neighbour that far away; where that is too little, or fewer than k rows were found, a second round asks
+again: with probes for its own distance, or, if those would be more than there are blocks of rows or none is known, with
+every block of rows. So a query always gets all that there is up to k, however its neighbourhood is scaled.
 
 Equal vectors are folded to one with its smallest ids before hashing, so one vector may make up any share of the rows.
 """
@@ -27,11 +32,14 @@ SAMPLE = 2_000
 TABLES = 4
 #: Probability that one table's visited buckets hold a given neighbour. With TABLES: 1 - (1 - 0.6)^4 = 0.97.
 SUCCESS = 0.6
+#: Estimated success over all tables at a query's own k-th distance below which it is asked again.
+ENOUGH = 0.9
 #: Cell width in standard deviations of a projection.
 WIDTH = 1.0
 #: Vectors of a bucket compared at once; larger buckets are split.
 BLOCK = 4_096
-#: Cells looked at on either side in each projection, and buckets looked at for one query and table.
+#: Cells looked at on either side in each projection, and buckets looked at for one query and table. Where they keep the
+#: success below SUCCESS, the query meets every block instead.
 REACH, MOST_CELLS = 3, 50_000
 
 
@@ -58,13 +66,16 @@ class Tables:
         with np.errstate(over="ignore"):
             return (cells.astype(np.int64) * self.mix).sum(axis=-1)
 
-    def probes(self, place: np.ndarray) -> np.ndarray:
-        """Cells (rows) to visit for one query in one table, in estimated success order."""
-        home = np.floor(place)
+    def _chances(self, place: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets from the home cell, and by projection the probability of each for a neighbour at distance near."""
         offsets = np.arange(-REACH, REACH + 1)
-        edge = (home[:, None] + offsets[None] - place[:, None]) * self.width / self.near
-        cdf = np.vectorize(lambda z: 0.5 * math.erfc(-z / math.sqrt(2)))
-        chance = cdf(edge + self.width / self.near) - cdf(edge)
+        edge = (np.floor(place)[:, None] + offsets[None] - place[:, None]) * self.width / near
+        return offsets, _normal_cdf(edge + self.width / near) - _normal_cdf(edge)
+
+    def probes(self, place: np.ndarray, near: float) -> tuple[np.ndarray, float]:
+        """Cells (rows) to visit for one query in one table, in estimated success order, and their success in all."""
+        home = np.floor(place)
+        offsets, chance = self._chances(place, near)
         cells, success = np.zeros((1, 0)), np.ones(1)
         for i in range(len(place)):
             success = (success[:, None] * chance[i][None]).ravel()
@@ -73,8 +84,19 @@ class Tables:
                 best = np.argpartition(-success, MOST_CELLS)[:MOST_CELLS]
                 cells, success = cells[best], success[best]
         order = np.argsort(-success, kind="stable")
-        enough = int(np.searchsorted(np.cumsum(success[order]), SUCCESS)) + 1
-        return cells[order[:enough]]
+        reached = np.cumsum(success[order])
+        enough = min(len(order), int(np.searchsorted(reached, SUCCESS)) + 1)
+        return cells[order[:enough]], float(reached[enough - 1])
+
+    def success(self, place: np.ndarray, cells: np.ndarray, near: float) -> float:
+        """Probability that a neighbour at distance near lies in one of the cells."""
+        offsets, chance = self._chances(place, near)
+        at = (cells - np.floor(place)).astype(int) + REACH
+        return float(chance[np.arange(len(place))[None], at].prod(axis=1).sum())
+
+
+def _normal_cdf(z: np.ndarray) -> np.ndarray:
+    return np.vectorize(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)))(z)
 
 
 def _learned(classes: DataFrame, count: int, dim: int, k: int) -> Tables:
@@ -95,16 +117,21 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _best(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, norm: np.ndarray, k: int) -> tuple[list, list, list]:
+def _best(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, norm: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest rows of x for each query, measured exactly."""
-    d2 = (q * q).sum(axis=1)[:, None] + norm[None] - 2 * (q @ x.T)
+    own = (q * q).sum(axis=1)[:, None]
+    d2 = own + norm[None] - 2 * (q @ x.T)
     if x.shape[0] > k:
-        kth = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
-        row, col = np.nonzero(d2 <= kth + 1e-9 * (1 + np.abs(kth)))
+        # what the product's rounding may hide is kept, so that the exact measure decides
+        slack = 4e-15 * x.shape[1] * (own + norm.max())
+        row, col = np.nonzero(d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k] + slack)
     else:
         row, col = (a.ravel() for a in np.indices(d2.shape))
     exact = np.sqrt(((q[row] - x[col]) ** 2).sum(axis=1))
-    return queries[row], ids[col], exact
+    order = np.lexsort((ids[col], exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return queries[row[kept]], ids[col[kept]], exact[kept]
 
 
 def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -112,20 +139,38 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, key: st
 
     queries: which rows of vectors are queries. Rows whose vector is null, zero, or holds a null or non-finite
     component take no part, nor do rows with a null id or of another length than the most frequent one. All others
-    are indexed. Repeated vectors are neighbours at distance 0; a repeated id counts once for each different vector.
-    With k or fewer other rows all are returned; empty tables give no rows; other columns are not read.
+    are indexed. Equal vectors of different ids are neighbours at distance 0. Repeated rows count once; rows of one id
+    and different vectors are one neighbour, at the least distance, and ask as one query for each of their vectors; rows
+    with the query's id are never its neighbours. Every query gets k ids, or all others if they are fewer; which k is
+    approximate. Empty tables give no rows; other columns are not read.
     """
+    found = _searched(vectors, queries, k, key, vector)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _searched(vectors: DataFrame, queries: Column, k: int, key: str, vector: str) -> DataFrame:
+    """The result of nearest_neighbours, and asked: the round that a query was answered in (1, 2, or 3 by all blocks)."""
     good = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
     lengths = good.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     dim = lengths[0].d if lengths else 1
     good = good.where(F.size("v") == dim).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
+    # as many ids of one vector as a list can hold, with one of the query's own
     first = Window.partitionBy("k1", "k2").orderBy("id")
-    few = good.select("k1", "k2", "id", "v").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1)
-    classes = stored(few.groupBy("k1", "k2").agg(F.min("id").alias("cid"), F.first("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids")), "ann-classes")
-    asked = stored(good.where("q").select("id", "k1", "k2"), "ann-queries")
+    few = good.select("k1", "k2", "id").distinct().withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1)
+    few = few.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    classes = good.groupBy("k1", "k2").agg(F.min("id").alias("cid"), F.first("v").alias("v")).join(few, ["k1", "k2"])
+    classes = stored(classes.select("cid", "v", "ids", "k1", "k2"), "ann-classes")
+    # a repeated id may be the least one of several vectors
+    if not classes.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        classes = stored(classes.withColumn("cid", F.xxhash64("k1", "k2")), "ann-classes")
+    asked = stored(good.where("q").select("id", "k1", "k2").distinct().join(classes.select("k1", "k2", "cid"), ["k1", "k2"]).select("id", "cid"), "ann-queries")
     count = classes.count()
     tables = _learned(classes, count, dim, k)
     top = k + 2
+    kind = dict(classes.dtypes)["v"]
+    schema = f"t int, bucket long, cid long, v {kind}"
+    columns = ["t", "bucket", "block", "probe", "cid", "v"]
+    whole = max(1, -(-count // BLOCK))
 
     def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -135,27 +180,29 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, key: st
 
     def probe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            x = _vectors(part.column(1), dim).astype(float)
+            x, near = _vectors(part.column(1), dim).astype(float), part.column(2).to_numpy()
             for t in range(TABLES):
-                where = tables.places(x, t)
-                keys = [np.unique(tables.key(tables.probes(p))) for p in where]
+                keys = [np.unique(tables.key(tables.probes(p, n)[0])) for p, n in zip(tables.places(x, t), near, strict=True)]
                 row = pa.array(np.repeat(np.arange(len(x)), [len(u) for u in keys]))
                 if len(row):
                     yield pa.record_batch([pa.array(np.full(len(row), t, np.int32)), pa.array(np.concatenate(keys)), part.column(0).take(row), part.column(1).take(row)], names=["t", "bucket", "cid", "v"])
 
-    schema = "t int, bucket long, cid long, v array<float>"
-    flat = classes.select("cid", F.col("v").cast("array<float>").alias("v")) if dict(classes.dtypes)["v"] == "array<float>" else classes.select("cid", "v")
-    if dict(classes.dtypes)["v"] != "array<float>":
-        schema = schema.replace("array<float>", dict(classes.dtypes)["v"])
-    rows = flat.mapInArrow(place, schema)
-    sizes = stored(rows.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "ann-buckets")
-    large = sizes.where("blocks > 1")
-    rows = rows.join(large, ["t", "bucket"], "left").withColumn("block", F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    seeking = flat.join(classes.join(asked.select("k1", "k2").distinct(), ["k1", "k2"]).select("cid"), "cid").repartition("cid")
-    probes = seeking.select("cid", "v").mapInArrow(probe, schema)
-    probes = probes.join(sizes, ["t", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["t", "bucket", "block", "probe", "cid", "v"]
-    met = rows.withColumn("probe", F.lit(False)).select(columns).union(probes.withColumn("probe", F.lit(True)).select(columns))
+    def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries to ask again, with the distance to assume, or none for those that are to meet every block."""
+        for part in parts:
+            x, reached = _vectors(part.column(1), dim).astype(float), part.column(2).to_numpy(zero_copy_only=False)
+            again, near = [], []
+            for i in range(len(x)):
+                own = max(float(reached[i]), 1e-12)
+                places = [tables.places(x[i : i + 1], t)[0] for t in range(TABLES)] if np.isfinite(own) else []
+                met = [tables.success(p, tables.probes(p, tables.near)[0], own) for p in places]
+                if places and 1 - np.prod(1 - np.array(met)) >= ENOUGH:
+                    continue
+                wider = [tables.probes(p, own) for p in places]
+                again.append(i)
+                near.append(own if wider and min(w for _, w in wider) >= SUCCESS and sum(len(c) for c, _ in wider) <= whole else None)
+            at = pa.array(again, pa.int64())
+            yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), pa.array(near, pa.float64())], names=["cid", "v", "near"])
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by bucket and block, its vectors before its probes; a block's vectors are held, probes pass by."""
@@ -178,21 +225,55 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, key: st
                         x = np.concatenate(xs).astype(float)
                         block = np.concatenate(ids), x, (x * x).sum(axis=1)
                     for c in range(a, b, 256):
-                        found = _best(cid[c : min(c + 256, b)], v[c : min(c + 256, b)].astype(float), *block, top)
-                        yield pa.record_batch([pa.array(y) for y in found], names=["qcid", "cid", "d"])
+                        best = _best(cid[c : min(c + 256, b)], v[c : min(c + 256, b)].astype(float), *block, top)
+                        yield pa.record_batch([pa.array(y) for y in best], names=["qcid", "cid", "d"])
+
+    def compared(rows: DataFrame, probes: DataFrame) -> DataFrame:
+        """qcid, cid, d of the nearest in all blocks that a query meets."""
+        met = rows.withColumn("probe", F.lit(False)).select(columns).union(probes.withColumn("probe", F.lit(True)).select(columns))
+        dealt = met.repartition("t", "bucket", "block").sortWithinPartitions("t", "bucket", "block", "probe")
+        return dealt.mapInArrow(compare, "qcid long, cid long, d double")
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        order = Window.partitionBy("qcid").orderBy("d", "cid")
+        pairs = pairs.groupBy("qcid", "cid").agg(F.min("d").alias("d"))
+        return pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= top).drop("rn")
+
+    flat = classes.select("cid", "v")
+    rows = flat.mapInArrow(place, schema)
+    sizes = stored(rows.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "ann-buckets")
+    large = sizes.where("blocks > 1")
+    rows = rows.join(large, ["t", "bucket"], "left").withColumn("block", F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1))).cast("int"))
+
+    def hashed(seeking: DataFrame) -> DataFrame:
+        probes = seeking.repartition("cid").mapInArrow(probe, schema).join(sizes, ["t", "bucket"])
+        return compared(rows, probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
 
-    dealt = met.repartition("t", "bucket", "block").sortWithinPartitions("t", "bucket", "block", "probe")
-    found = dealt.mapInArrow(compare, "qcid long, cid long, d double").groupBy("qcid", "cid").agg(F.min("d").alias("d"))
+    seeking = stored(flat.join(asked.select("cid").distinct(), "cid"), "ann-seeking")
+    found = stored(nearest(hashed(seeking.withColumn("near", F.lit(tables.near)))), "ann-found")
+    # the distance of the k-th row besides the query's own; infinite if fewer were found
     order = Window.partitionBy("qcid").orderBy("d", "cid")
-    found = found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= top)
-    found = found.join(classes.select("cid", "ids"), "cid").select("qcid", "d", F.explode("ids").alias("id"))
+    upto = found.join(classes.select("cid", F.size("ids").alias("n")), "cid").withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    reached = upto.where(F.col("upto") > k).groupBy(F.col("qcid").alias("cid")).agg(F.min("d").alias("reached"))
+    judged = seeking.join(reached, "cid", "left").select("cid", "v", F.coalesce("reached", F.lit(float("inf"))).alias("reached"))
+    again = stored(judged.repartition("cid").mapInArrow(judge, f"cid long, v {kind}, near double"), "ann-again")
+    if not again.isEmpty():
+        more = hashed(again.where("near IS NOT NULL"))
+        every = again.where("near IS NULL").select("cid", "v")
+        if not every.isEmpty():
+            blocked = lambda df, at: df.select(F.lit(TABLES).alias("t"), at.alias("bucket"), F.lit(0).alias("block"), "cid", "v")
+            numbers = F.sequence(F.lit(0).cast("long"), F.lit(whole - 1).cast("long"))
+            more = more.union(compared(blocked(flat, F.pmod(F.xxhash64("cid"), F.lit(whole))), blocked(every, F.explode(numbers))))
+        found = stored(nearest(found.union(stored(more, "ann-more"))), "ann-found")
+    rounds = again.select("cid", F.when(F.col("near").isNull(), 3).otherwise(2).alias("asked"))
+    found = found.join(classes.select("cid", "ids"), "cid").select("qcid", "d", F.explode("ids").alias("id")).groupBy("qcid", "id").agg(F.min("d").alias("d"))
     order = Window.partitionBy("qcid").orderBy("d", "id")
     found = found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k + 1)
-    lists = found.groupBy("qcid").agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("near"))
-    lists = lists.join(classes.select(F.col("cid").alias("qcid"), "k1", "k2"), "qcid")
-    own = asked.join(lists, ["k1", "k2"]).select(F.col("id").alias("query_id"), F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
-    out = own.select("query_id", F.posexplode("near").alias("p", "x"))
-    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.d").alias("score"))
+    lists = found.groupBy(F.col("qcid").alias("cid")).agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("near"))
+    lists = lists.join(again.select("cid", F.when(F.col("near").isNull(), 3).otherwise(2).alias("asked")), "cid", "left")
+    own = asked.join(lists, "cid").select(F.col("id").alias("query_id"), "asked", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
+    out = own.select("query_id", "asked", F.posexplode("near").alias("p", "x"))
+    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.d").alias("score"), F.coalesce("asked", F.lit(1)).alias("asked"))
 
 
 def op7_nearest_neighbours(spark, sf_dir):
