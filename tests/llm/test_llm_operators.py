@@ -251,7 +251,7 @@ def test_nearest_neighbours_of_outliers_and_scales(spark, monkeypatch, block):
     monkeypatch.setattr(ann, "BLOCK", block)
     rng = np.random.default_rng(1)
     x = rng.standard_normal((1501, 16))
-    x[1000:] = x[0] + rng.standard_normal((501, 16)) * rng.choice([0.1, 3.0], (501, 1))
+    x[1000:] = rng.standard_normal((501, 16)) * rng.choice([0.3, 1.3], (501, 1)) + 2
     x[0] *= 100
     x[100] = 1000
     x = x.astype(np.float32).astype(float)

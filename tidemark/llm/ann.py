@@ -105,7 +105,8 @@ def _learned(classes: DataFrame, count: int, dim: int, k: int) -> Tables:
     x = np.array([r.v for r in rows], dtype=float).reshape(-1, dim)
     if len(x) < 3:
         return Tables(dim, count, 1.0, 1.0)
-    scale = float(np.sqrt(((x - x.mean(axis=0)) ** 2).sum(axis=1).mean()))
+    # medians, as a few far vectors would make cells so wide that all others share one
+    scale = float(np.sqrt(np.median(((x - np.median(x, axis=0)) ** 2).sum(axis=1))))
     norm = (x * x).sum(axis=1)
     some = x[:500]
     d2 = np.maximum(0, (some * some).sum(axis=1)[:, None] + norm[None] - 2 * some @ x.T)
