@@ -60,11 +60,18 @@ def test_episodes_equal_state_machine_and_stream(spark, restricted, tmp_path, se
     df = spark.createDataFrame(rows, POSITION)
     assert rows_of(E.zone_episodes(df, restricted)) == want
     # the same in micro-batches, each of a later file
-    store, write = T.upsert_sink(spark, f"file://{tmp_path}/episodes")
+    log, write = T.episode_sink(spark, f"file://{tmp_path}/episodes", (0,))
     for k in range(3):
-        df.where((F.col("event_id") >= 40 * k) & (F.col("event_id") < 40 * k + 40)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        T.run_available(T.track_episodes_stream(io.stream_positions(spark, f"{tmp_path}/in"), (0,)), f"file://{tmp_path}/checkpoint", write)
-    assert rows_of(store.read()) == want
+        # several files in each batch, which repeats the last five reports of the one before
+        df.where((F.col("event_id") >= 40 * k - 5) & (F.col("event_id") < 40 * k + 40)).write.mode("append").parquet(f"{tmp_path}/in")
+        T.run_available(io.stream_positions(spark, f"{tmp_path}/in"), f"file://{tmp_path}/checkpoint", write, "append")
+    assert rows_of(log.read()) == want
+    again = log.last.read().collect()
+    write(spark.createDataFrame(df.where("event_id >= 80").collect(), POSITION), 2)  # the last batch once more
+    assert rows_of(log.read()) == want and sorted(log.last.read().collect()) == sorted(again)
+    write(df.limit(0), 3)
+    assert rows_of(log.read()) == want
+    assert len(list((tmp_path / "episodes" / "open").glob("v*"))) == 2  # older snapshots are gone
 
 
 def test_null_coordinates_and_empty_tables(spark, restricted):

@@ -540,25 +540,39 @@ def history_round_trip(spark, sf_dir):
 # streams -------------------------------------------------------------------------------------------------------------
 
 
-def _stream(spark, sf_dir, files: int = 4) -> DataFrame:
-    """Positions as files in time order, read as a stream of two files at a time."""
+def _in_batches(spark, rows: DataFrame, run, batches: int = 3) -> None:
+    """Positions that arrive in time ranges, each of as many files as it has partitions; run takes the stream after each."""
     path = fresh_path(spark, "positions")
-    X.positions(spark, sf_dir).to(POSITION).repartitionByRange(files, "ts").sortWithinPartitions("ts", "event_id").write.parquet(path)
-    return io.stream_positions(spark, path, 2)
+    rows = rows.to(POSITION)
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(batches if first else 1):
+        part = rows.where((F.col("ts") >= first + k * (last - first) / batches) & ((F.col("ts") < first + (k + 1) * (last - first) / batches) | F.lit(k == batches - 1))) if first else rows
+        part.write.mode("append").parquet(path)
+        run(io.stream_positions(spark, path))
+
+
+def _whole_stream(spark, sf_dir) -> DataFrame:
+    """All positions as one stream of as many files as they have partitions."""
+    path = fresh_path(spark, "positions")
+    X.positions(spark, sf_dir).to(POSITION).write.parquet(path)
+    return io.stream_positions(spark, path)
 
 
 @query(f"{WITH_P}, {X.oracle_episodes(ALL_ZONES)} SELECT {EPISODE_LIST} FROM episodes")
 def stream_episodes(spark, sf_dir):
-    stream = _stream(spark, sf_dir, 1)
-    store, write = T.upsert_sink(spark, fresh_path(spark, "episodes"))
-    T.run_available(T.track_episodes_stream(stream, ALL_ZONES), fresh_path(spark, "stream"), write)
-    return store.read().select(EPISODE_COLUMNS)
+    """Episodes of three micro-batches, with open ones and last reports carried from each to the next."""
+    log, write = T.episode_sink(spark, fresh_path(spark, "episodes"), ALL_ZONES)
+    checkpoint = fresh_path(spark, "stream")
+    _in_batches(spark, X.positions(spark, sf_dir), lambda stream: T.run_available(stream, checkpoint, write, "append"))
+    return log.read().select(EPISODE_COLUMNS)
 
 
 @query(f"{WITH_P} SELECT event_id, ts, mmsi FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY ts DESC, event_id DESC) AS n FROM positions) WHERE n = 1")
 def stream_latest(spark, sf_dir):
     path = fresh_path(spark, "latest")
-    T.run_available(T.latest_position_stream(_stream(spark, sf_dir)), fresh_path(spark, "stream"), lambda df, n: df.write.mode("overwrite").parquet(f"{path}/n={n}"))
+    checkpoint = fresh_path(spark, "stream")
+    keep = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/n={n}")
+    _in_batches(spark, X.positions(spark, sf_dir), lambda stream: T.run_available(T.latest_position_stream(stream), checkpoint, keep), 2)
     rows = spark.read.parquet(path)
     newest = rows.groupBy("mmsi").agg(F.max_by(F.struct("event_id", "ts"), F.struct("ts", "event_id")).alias("x"))
     return newest.select("x.event_id", F.col("x.ts").cast("timestamp_ntz").alias("ts"), "mmsi")
@@ -566,9 +580,14 @@ def stream_latest(spark, sf_dir):
 
 @query(f"{WITH_P} SELECT DISTINCT mmsi, ts FROM positions")
 def stream_dedup(spark, sf_dir):
-    path = fresh_path(spark, "dedup")
-    twice = _stream(spark, sf_dir)
-    T.run_available(T.dedup_stream(twice, "2000 hours"), fresh_path(spark, "stream"), lambda df, n: df.write.mode("overwrite").parquet(f"{path}/n={n}"), "append")
+    """Positions of which each comes twice in its poll, and those of the first poll again in the second."""
+    path, checkpoint = fresh_path(spark, "dedup"), fresh_path(spark, "stream")
+    keep = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/n={n}")
+    rows = X.positions(spark, sf_dir).to(POSITION)
+    polls = fresh_path(spark, "positions")
+    for poll in (rows.where("day(ts) <= 15").union(rows.where("day(ts) <= 15")), rows):
+        poll.write.mode("append").parquet(polls)
+        T.run_available(T.dedup_stream(io.stream_positions(spark, polls), "2000 hours"), checkpoint, keep, "append")
     return spark.read.parquet(path).select("mmsi", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
@@ -608,7 +627,7 @@ def stream_union(spark, sf_dir):
   CASE WHEN "tsOut" IS NULL AND "tsDetected" < (SELECT max(ts) FROM positions) - INTERVAL 5 DAY AND mmsi IN (SELECT mmsi FROM gone) THEN (SELECT max(ts) FROM positions) ELSE "tsOut" END AS "tsOut" FROM episodes""")
 def stream_stale_close(spark, sf_dir):
     """Stale episodes closed from a stream of newest positions, by the stream's own clock."""
-    store, write = T.stale_sink(spark, fresh_path(spark, "episodes"), BOX)
-    store.write(E.zone_episodes(P.within_box(X.positions(spark, sf_dir), BOX), zone_catalog(spark, (0,))), -1)
-    T.run_available(T.latest_position_stream(_stream(spark, sf_dir, 1)), fresh_path(spark, "stream"), write)
-    return store.read().select("mmsi", "zone", "tsDetected", "tsOut")
+    log, write = T.stale_sink(spark, fresh_path(spark, "episodes"), BOX)
+    log.write(-1, E.zone_episodes(P.within_box(X.positions(spark, sf_dir), BOX), zone_catalog(spark, (0,))))
+    T.run_available(T.latest_position_stream(_whole_stream(spark, sf_dir)), fresh_path(spark, "stream"), write)
+    return log.read().select("mmsi", "zone", "tsDetected", "tsOut")

@@ -8,15 +8,24 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import schemas
 
 _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
+
+    Where that is unset, a local session (one machine) gets a folder of its own; any other raises an error, as executors
+    don't see each other's local files.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="tidemark-"))
         atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
@@ -80,5 +89,37 @@ class SnapshotStore:
     def write(self, df: DataFrame, version: int) -> None:
         df.to(self.schema).write.mode("overwrite").parquet(f"{self.path}/v{version}")
         at, fs = self._pointer()
-        jvm = self.spark.sparkContext._jvm
-        fs.create(jvm.org.apache.hadoop.fs.Path(at, str(version)), True).close()
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs.create(path(at, str(version)), True).close()
+        # a batch that runs again reads the one before it; nothing reads older ones
+        for old in sorted(int(x.getPath().getName()) for x in fs.listStatus(at))[:-2]:
+            fs.delete(path(at, str(old)), True)
+            fs.delete(path(f"{self.path}/v{old}"), True)
+
+
+class EpisodeLog:
+    """A tracker's episodes: open ones and each vessel's last report as snapshots, closed ones appended batch by batch.
+
+    A batch rewrites what grows with the vessels, never what grows with time. Writing a batch again replaces it whole;
+    the snapshot of open episodes is written last and tells which batches count.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.open, self.last = (SnapshotStore(spark, f"{path.rstrip('/')}/{n}", s) for n, s in (("open", schemas.EPISODE), ("last", schemas.POSITION)))
+        self.spark, self.closed = spark, f"{path.rstrip('/')}/closed"
+
+    def write(self, batch: int, episodes: DataFrame, last: DataFrame | None = None) -> None:
+        """episodes: those open after the batch and those that it closed; last: reports that replace the batch's before."""
+        closed = episodes.where("tsOut IS NOT NULL").to(schemas.EPISODE)
+        closed.write.mode("overwrite").parquet(f"{self.closed}/batch={batch}")
+        if last is not None:
+            self.last.write(last, batch)
+        self.open.write(episodes.where("tsOut IS NULL"), batch)
+
+    def read(self) -> DataFrame:
+        """All episodes, open and closed."""
+        version = self.open.version()
+        if version is None:
+            return self.open.read()
+        closed = self.spark.read.parquet(self.closed)
+        return self.open.read(version).unionByName(closed.where(F.col("batch") <= version).drop("batch"))

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.geo import in_box, within
 from ..functions.vessels import split_command
-from ..operators.episodes import close_stale
+from ..operators.episodes import FIRST, close_stale, latest_positions, located, zone_episodes
 from ..sources.io import upsert_episodes
-from ..sources.schemas import EPISODE
-from ..sources.store import SnapshotStore
-from ..sources.zones import zone_rings, zone_row
-
-KINEMATICS = ("longitude", "latitude", "rot", "cog", "sog", "trueHeading")
+from ..sources.schemas import EPISODE, POSITION
+from ..sources.store import EpisodeLog, SnapshotStore, stored
+from ..sources.zones import zone_catalog, zone_rings, zone_row
 
 
 def union_feed_stream(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -40,53 +37,49 @@ def zones_of(df: DataFrame, zones) -> DataFrame:
     return df.withColumn("inside", F.transform(F.filter(catalogue, lambda z: in_box(lon, lat, z["bbox"]) & within(lon, lat, z["edges"])), lambda z: z["zone"]))
 
 
-_CHANGE = "mmsi long, tsDetected timestamp, tsCurrent timestamp, tsOut timestamp, navStatus int, navStatusDesc string, longitude double, latitude double, rot double, cog double, sog double, trueHeading double, zone int"
-
-
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The episode state machine of one vessel; its open episodes and last report are the state."""
-    opened, last = {}, None
-    if state.exists:
-        opened, last = json.loads(state.get[0]), state.get[1]
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    out: list[dict] = []
-    for r in rows.to_dict("records"):
-        at = r["ts"].isoformat()
-        mark = [at, int(r["event_id"])]
-        if last is not None and mark <= json.loads(last):
-            continue  # counted before, or late
-        last = json.dumps(mark)
-        inside = {int(z) for z in r["inside"]}
-        for z in [z for z in opened if int(z) not in inside]:
-            out.append(opened.pop(z) | {"tsOut": at})
-        for z in sorted(inside):
-            e = opened.get(str(z)) or {"mmsi": int(r["mmsi"]), "zone": z, "tsDetected": at, "navStatus": r["navStatus"], "navStatusDesc": r["navStatusDesc"], "tsOut": None}
-            e |= {c: None if pd.isna(r[c]) else float(r[c]) for c in KINEMATICS} | {"tsCurrent": at}
-            opened[str(z)] = e
-    state.update((json.dumps(opened), last))
-    out += list(opened.values())
-    if out:
-        done = pd.DataFrame(out)
-        for c in ("tsDetected", "tsCurrent", "tsOut"):
-            done[c] = pd.to_datetime(done[c])
-        # an episode that changed twice in a batch is written once, as it is at the end
-        done = done.drop_duplicates(["mmsi", "zone", "tsDetected"], keep="last")
-        names = [x.strip().split(" ")[0] for x in _CHANGE.split(",")]
-        yield done[names]
-
-
-def track_episodes_stream(positions: DataFrame, zones, lateness: str = "96 hours") -> DataFrame:
-    """Changed episodes of each micro-batch (update mode); ts of positions is a timestamp."""
-    tagged = zones_of(positions.where("longitude IS NOT NULL AND latitude IS NOT NULL"), zones).withWatermark("ts", lateness)
-    return tagged.groupBy("mmsi").applyInPandasWithState(_advance, _CHANGE, "opened string, last string", "update", "NoTimeout")
+def advance(batch: DataFrame, last: DataFrame, opened: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changed and new episodes, each vessel's last report) after a batch of reports.
+
+    last: one report of each vessel so far; reports up to it, repeated or late, change nothing. It stands in front of
+    the new ones, so the island that begins at it is the open episode of its vessel and zone, which goes on or ends.
+    """
+    at = F.struct("ts", "event_id")
+    seen = last.select("mmsi", at.alias("__at"))
+    fresh = stored(located(batch).join(seen, "mmsi", "left").where(F.col("__at").isNull() | (at > F.col("__at"))).drop("__at").select(*POSITION.names), "fresh-reports")
+    moved = fresh.select("mmsi").distinct()
+    found = zone_episodes(last.join(moved, "mmsi", "left_semi").unionByName(fresh), zones)
+    # reports at one time are told apart by their ids, and so may be islands that begin at it
+    first = F.row_number().over(Window.partitionBy("mmsi", "zone").orderBy("tsDetected", "tsCurrent", F.asc_nulls_last("tsOut"))) == 1
+    was = opened.select("mmsi", "zone", *[F.col(c).alias(f"__{c}") for c in ("id", "tsDetected", *FIRST)])
+    joined = found.withColumn("__first", first).join(was, ["mmsi", "zone"], "left")
+    goes_on = F.col("__first") & F.col("__tsDetected").isNotNull()
+    kept = {c: F.when(goes_on, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("id", "tsDetected", *FIRST)}
+    changes = stored(joined.withColumns(kept).select(*EPISODE.names), "episode-changes")
+    return changes, latest_positions(last.unionByName(fresh))
+
+
+def episode_sink(spark: SparkSession, path: str, zones) -> tuple[EpisodeLog, Callable[[DataFrame, int], None]]:
+    """A log of episodes and the foreachBatch function for reports (ts as a timestamp) that keeps it; repeated batches change nothing."""
+    log, catalogue = EpisodeLog(spark, path), zone_catalog(spark, tuple(zones))
+
+    def write(reports: DataFrame, batch: int) -> None:
+        opened, last = log.open.previous(batch), log.last.previous(batch)
+        changes, newest = advance(reports.withColumn("ts", F.col("ts").cast("timestamp_ntz")), last, opened, catalogue)
+        others = opened.join(changes.select("mmsi", "zone").distinct(), ["mmsi", "zone"], "left_anti")
+        log.write(batch, others.unionByName(changes), newest)
+
+    return log, write
 
 
 def upsert_sink(spark: SparkSession, path: str) -> tuple[SnapshotStore, Callable[[DataFrame, int], None]]:
-    """A snapshot store of episodes and the foreachBatch function that upserts into it; repeated batches change nothing."""
+    """A snapshot store of episodes and the foreachBatch function that upserts changes into it; repeated batches change nothing.
+
+    Each batch rewrites the whole table: for tables of open episodes, or small ones.
+    """
     store = SnapshotStore(spark, path, EPISODE)
 
     def write(changes: DataFrame, batch: int) -> None:
-        rows = changes.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("tsDetected", "tsCurrent", "tsOut")}).withColumn("id", F.lit(None).cast("bigint"))
+        rows = changes.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("tsDetected", "tsCurrent", "tsOut")})
         store.write(upsert_episodes(store.previous(batch), rows.select(*EPISODE.names)), batch)
 
     return store, write
@@ -117,20 +110,20 @@ def request_stream(requests: DataFrame, history: DataFrame) -> DataFrame:
     return asked.join(history, "mmsi")
 
 
-def stale_sink(spark: SparkSession, path: str, box: tuple[float, float, float, float], days: float = 5) -> tuple[SnapshotStore, Callable[[DataFrame, int], None]]:
-    """A store of episodes and the foreachBatch function for newest positions that closes stale ones in it.
+def stale_sink(spark: SparkSession, path: str, box: tuple[float, float, float, float], days: float = 5) -> tuple[EpisodeLog, Callable[[DataFrame, int], None]]:
+    """A log of episodes and the foreachBatch function for newest positions that closes stale ones in it.
 
     Positions come from latest_position_stream; the newest time among them is the clock, so a run can be repeated.
     """
-    store = SnapshotStore(spark, path, EPISODE)
+    log = EpisodeLog(spark, path)
 
     def write(latest: DataFrame, batch: int) -> None:
         now = latest.agg(F.max("ts").cast("timestamp_ntz")).first()[0]
         if now is not None:
             rows = latest.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-            store.write(close_stale(rows, store.previous(batch), now, box, days), batch)
+            log.write(batch, close_stale(rows, log.open.previous(batch), now, box, days))
 
-    return store, write
+    return log, write
 
 
 def board_refresh(positions: DataFrame, refresh: Callable[[DataFrame, int], None], checkpoint: str, every: str = "100 seconds"):
