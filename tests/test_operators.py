@@ -200,6 +200,17 @@ def test_consecutive_repeats(spark):
     assert [r.event_id for r in W.drop_consecutive_repeats(df).orderBy("event_id").collect()] == [0, 2, 3]
 
 
+def test_warehouse_reads(spark):
+    """A JDBC source in this JVM: the database that Spark itself brings."""
+    options = {"url": "jdbc:derby:memory:tidemark;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(100).selectExpr("id AS mmsi", "id * 0.5D AS sog").write.format("jdbc").options(**options, dbtable="reports").mode("overwrite").save()
+    query = 'SELECT "mmsi", "sog" FROM reports WHERE "sog" >= 10'
+    whole = io.read_warehouse(spark, options, query)
+    parts = io.read_warehouse(spark, options, query, {"partitionColumn": "mmsi", "lowerBound": "0", "upperBound": "100", "numPartitions": "4"})
+    assert parts.rdd.getNumPartitions() == 4
+    assert sorted(whole.collect()) == sorted(parts.collect()) == [(i, i * 0.5) for i in range(20, 100)]
+
+
 def test_geojson_and_json(spark):
     import json
 

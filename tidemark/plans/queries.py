@@ -15,7 +15,7 @@ from ..operators.proximity import proximity_pairs, proximity_set
 from ..sources import io
 from ..sources.schemas import EPISODE, POSITION
 from ..sources.store import fresh_path, stored
-from ..sources.zones import REGIONS, ring_mean, region_box, region_envelopes, zone_catalog
+from ..sources.zones import REGIONS, read_geojson_zones, region_box, region_envelopes, ring_mean, swap_axes, zone_catalog, zone_rings
 from ..streaming import trackers as T
 from . import boards as B
 from . import fixtures as X
@@ -78,8 +78,6 @@ def region_filter(spark, sf_dir):
 
 @query(f"{WITH_P}, {X.oracle_tags((0,))} SELECT DISTINCT mmsi FROM positions JOIN tags USING (event_id)")
 def distinct_vessels_in_region(spark, sf_dir):
-    from ..sources.zones import zone_rings
-
     return P.within_region(X.positions(spark, sf_dir), zone_rings()[0][2]).select("mmsi").distinct()
 
 
@@ -443,7 +441,12 @@ def consecutive_dedup(spark, sf_dir):
     return W.drop_consecutive_repeats(arrivals).select("event_id", "mmsi")
 
 
-@query()
+# the same text as Spark writes it: no spaces, shortest numbers
+GEOJSON = """'{"mmsi":' || mmsi || ',"geojson":{"type":"geojson","data":{"type":"Feature","properties":{},"geometry":{"type":"LineString","coordinates":['
+ || string_agg('[' || longitude || ',' || latitude || ']', ',' ORDER BY ts, event_id) || ']}}},"payload":"playback-geojson"}'"""
+
+
+@query(f"{WITH_P} SELECT mmsi, {GEOJSON} AS value FROM positions GROUP BY mmsi")
 def track_geojson(spark, sf_dir):
     return io.to_geojson(W.track_linestring(X.positions(spark, sf_dir)), "playback-geojson")
 
@@ -454,7 +457,8 @@ def track_points(spark, sf_dir):
     return lines.select("mmsi", F.size("points").cast("bigint").alias("n"), F.round(F.get("points", 0)["lon"], 6).alias("first_lon"), F.round(F.element_at("points", -1)["lat"], 6).alias("last_lat"))
 
 
-@query()
+@query(f"""{WITH_P} SELECT '{{"m_ts":"' || strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') || '","m_mmsi":"' || mmsi || '","m_long":' || longitude || ',"m_lat":' || latitude
+ || ',"m_sog":' || sog || ',"m_cog":' || cog || ',"cmap":"track","payload":"playback-data"}}' AS value FROM positions""")
 def json_records(spark, sf_dir):
     records = W.playback_records(X.positions(spark, sf_dir))
     return io.to_json_records(records.drop("payload"), "playback-data")
@@ -537,6 +541,82 @@ def history_round_trip(spark, sf_dir):
     return io.read_history(spark, path, 533000005).select("mmsi", "ts", "latitude")
 
 
+# tables written and read back -----------------------------------------------------------------------------------------
+
+
+@query(f"{WITH_P} SELECT coalesce(CASE WHEN event_id % 3 > 0 THEN feed END, 'C') AS feed, event_id, ts, mmsi, CASE WHEN event_id % 7 > 0 THEN cog END AS cog, longitude FROM positions")
+def positions_read_back(spark, sf_dir):
+    """Reports whose feed is partly unnamed and whose courses are partly NaN."""
+    path = fresh_path(spark, "positions")
+    odd = {"feed": F.when(F.col("event_id") % 3 > 0, F.col("feed")), "cog": F.when(F.col("event_id") % 7 > 0, F.col("cog")).otherwise(F.lit(float("nan")))}
+    X.positions(spark, sf_dir).withColumns(odd).to(POSITION).write.parquet(path)
+    return io.read_positions(spark, path, "C").select("feed", "event_id", "ts", "mmsi", "cog", "longitude")
+
+
+@query(f'WITH {X.ORACLE_STATIC} SELECT feed, mmsi, "shipType", coalesce("shipTypeDesc", \'Not Available\') AS "shipTypeDesc", "shipName", imo, to_bow, destination FROM vessel_static')
+def static_read_back(spark, sf_dir):
+    path = fresh_path(spark, "static")
+    X.vessel_static(spark, sf_dir).write.parquet(path)
+    return io.read_static(spark, path).withColumn("shipTypeDesc", V.default_text(F.col("shipTypeDesc"))).select("feed", "mmsi", "shipType", "shipTypeDesc", "shipName", "imo", "to_bow", "destination")
+
+
+@query(f'{WITH_P}, {X.oracle_episodes(ALL_ZONES)} SELECT {EPISODE_LIST} FROM episodes WHERE "tsOut" IS NULL')
+def episodes_read_back(spark, sf_dir):
+    """Open episodes of a stored table; the filter reaches the scan."""
+    path = fresh_path(spark, "episodes")
+    _episodes(spark, sf_dir).write.parquet(path)
+    return P.open_episodes(io.read_episodes(spark, path)).select(EPISODE_COLUMNS)
+
+
+def _rings(spark, sf_dir) -> DataFrame:
+    """A square around the newest place of each vessel as GeoJSON, made of (lat, lon) points with their axes swapped."""
+    at = E.latest_positions(X.positions(spark, sf_dir))
+    corner = lambda y, x: F.array(F.col("latitude") + F.lit(y), F.col("longitude") + F.lit(x))
+    ring = F.array(*[corner(y, x) for y, x in ((-0.01, -0.02), (-0.01, 0.02), (0.01, 0.02), (0.01, -0.02), (-0.01, -0.02))])
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(swap_axes(ring)).alias("coordinates"))
+    return at.select((F.col("mmsi") - 533000000).cast("int").alias("zone"), F.concat(F.lit("around "), F.col("mmsi").cast("string")).alias("name"), F.lit("vessel").alias("kind"), geometry.alias("geometry"))
+
+
+@query(f"""{WITH_P}, newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY ts DESC, event_id DESC) AS n FROM positions) WHERE n = 1)
+ SELECT CAST(mmsi - 533000000 AS INTEGER) AS zone, 'around ' || mmsi AS name, 'vessel' AS kind, CAST(4 AS INTEGER) AS edges,
+        round(longitude - 2e-2, 6) AS min_lon, round(latitude - 1e-2, 6) AS min_lat, round(longitude + 2e-2, 6) AS max_lon, round(latitude + 1e-2, 6) AS max_lat FROM newest""")
+def geojson_zones(spark, sf_dir):
+    """Zones read from JSON lines, with the edges and envelopes of their rings."""
+    path = fresh_path(spark, "zones")
+    _rings(spark, sf_dir).write.json(path)
+    zones = read_geojson_zones(spark, path)
+    return zones.select("zone", "name", "kind", F.size("edges").alias("edges"), *[F.round(f"bbox.{c}", 6).alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")])
+
+
+@query(f"{WITH_P} SELECT event_id, CASE WHEN event_id % 5 > 0 THEN ts END AS ts FROM positions")
+def parsed_times(spark, sf_dir):
+    """Times from text; every fifth is none."""
+    text = F.when(F.col("event_id") % 5 > 0, F.col("ts").cast("string")).otherwise(F.concat(F.lit("at "), F.col("ts").cast("string")))
+    return X.positions(spark, sf_dir).select("event_id", V.parse_ts(text).alias("ts"))
+
+
+@query(f"{WITH_P}, {X.oracle_tags(ALL_ZONES)} SELECT substr(CASE WHEN zone = 0 THEN 'restricted-limit' WHEN zone = 10 THEN 'TSS-Northbound' WHEN zone = 11 THEN 'TSS-Southbound' ELSE 'sector' || zone || '-limit' END, 1, 5) AS lane, count(*) AS hits FROM tags GROUP BY 1")
+def lane_names(spark, sf_dir):
+    """Reports by the short names of their zones."""
+    named = F.broadcast(zone_catalog(spark).select("zone", V.lane_short_name(F.col("name")).alias("lane")))
+    return zone_hit_counts(spark, sf_dir).join(named, "zone").groupBy("lane").agg(F.sum("hits").alias("hits"))
+
+
+@query(f"{WITH_P}, {X.oracle_tags((10,))} SELECT event_id, mmsi, longitude, latitude FROM positions JOIN tags USING (event_id)")
+def ring_region_filter(spark, sf_dir):
+    """Reports inside a lane, by its ring of 58 edges behind its envelope."""
+    return P.within_region(X.positions(spark, sf_dir), zone_rings()[10][2]).select("event_id", "mmsi", "longitude", "latitude")
+
+
+@query(f"""{WITH_P}, {X.oracle_tags((0,), "positions")}, {_corner(0.0, 2.0, 'f')} SELECT event_id, f.lon AS front_lon, f.lat AS front_lat, event_id IN (SELECT event_id FROM tags) AS inside FROM f""")
+def view_triangles(spark, sf_dir):
+    """The vessel view with its triangles, and whether each report lies in the restricted area (zones without a join)."""
+    merged = T.zones_of(X.positions(spark, sf_dir), (0,)).withColumn("shipcatagory", F.lit("others"))
+    view = W.vessel_view(merged, merged.select("mmsi").limit(0), triangle_km=2)
+    front = F.get("triangle", 0)
+    return view.select("event_id", F.round(front[0], 6).alias("front_lon"), F.round(front[1], 6).alias("front_lat"), (F.size("inside") > 0).alias("inside"))
+
+
 # streams -------------------------------------------------------------------------------------------------------------
 
 
@@ -623,6 +703,26 @@ def stream_union(spark, sf_dir):
     return spark.read.parquet(path).groupBy("feed").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mmsi").alias("vessels"))
 
 
+@query(BOARD_ROW)
+def refreshed_board(spark, sf_dir):
+    """The board as the second of two refreshes leaves it, each on all positions that have arrived."""
+    path, seen, boards, checkpoint = (fresh_path(spark, n) for n in ("positions", "seen", "boards", "stream"))
+
+    def refresh(batch: DataFrame, n: int) -> None:
+        batch.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.mode("overwrite").parquet(f"{seen}/n={n}")
+        so_far = spark.read.schema(POSITION).parquet(seen)
+        B.summary_board(E.zone_episodes(so_far, zone_catalog(spark, MOVING_ZONES))).write.mode("overwrite").parquet(f"{boards}/n={n}")
+
+    rows = X.positions(spark, sf_dir).to(POSITION)
+    for half in (rows.where("day(ts) <= 15"), rows.where("day(ts) > 15")):
+        half.write.mode("append").parquet(path)
+        running = T.board_refresh(io.stream_positions(spark, path), refresh, checkpoint, "0 seconds")
+        running.processAllAvailable()
+        running.stop()
+    found = spark.read.parquet(boards)
+    return found.where(F.col("n") == found.agg(F.max("n")).first()[0]).drop("n")
+
+
 @query(f"""{STALE} SELECT mmsi, zone, "tsDetected",
   CASE WHEN "tsOut" IS NULL AND "tsDetected" < (SELECT max(ts) FROM positions) - INTERVAL 5 DAY AND mmsi IN (SELECT mmsi FROM gone) THEN (SELECT max(ts) FROM positions) ELSE "tsOut" END AS "tsOut" FROM episodes""")
 def stream_stale_close(spark, sf_dir):
