@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc32, table
+from .common import documents, id_crc32, text_slices
 
 #: Bounds of the sample that is learned from: texts and landmarks of each language.
 TEXTS_EACH, LANDMARKS_EACH = 600, 48
@@ -102,7 +102,7 @@ def fit_languages(learnable: DataFrame, texts_each: int = TEXTS_EACH, landmarks_
     sample = _sample(learnable.select(key, text, lang), texts_each, text, key, lang)
 
     def codes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in text_slices(parts, 1):
             found = [np.unique(np.concatenate(gram_codes(t))) if has_letter(t) else np.zeros(0, np.int32) for t in part.column(1).to_pylist()]
             yield pa.record_batch([part.column(0), pa.array(found, pa.list_(pa.int32())), part.column(2)], names=["lang", "codes", "h"])
 
@@ -119,7 +119,7 @@ def fit_languages(learnable: DataFrame, texts_each: int = TEXTS_EACH, landmarks_
     shared, sent = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(landmark)
 
     def kernels(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in text_slices(parts, 1):
             for at in range(0, part.num_rows, 256):
                 piece = part.slice(at, 256)
                 texts = piece.column(1).to_pylist()
@@ -153,7 +153,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text",
     source = docs.select(F.col(text).cast("string").alias("__text"), key, *(extra or []))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in text_slices(parts, 0):
             for at in range(0, part.num_rows, 256):
                 piece = part.slice(at, 256)
                 texts = piece.column(0).to_pylist()
@@ -184,4 +184,4 @@ def identify_languages(docs: DataFrame, folds: int = 4, held_fold: int = 2, text
 
 
 def op4_language_id(spark, sf_dir):
-    return identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return identify_languages(documents(spark, sf_dir).select("doc_id", "text", "lang"))

@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import documents, stored, text_slices
 
 #: Pieces packed together in one task. A group leaves at most a few windows partly empty.
 GROUP = 65_536
-#: Words whose ids a worker remembers; beyond it the memory is emptied and built anew.
-REMEMBERED = 1_000_000
+#: Bytes of words and ids that a worker remembers, twice over, of words met again and of new ones.
+REMEMBERED, REMEMBERED_NEW = 24 << 20, 8 << 20
+#: Bytes of an entry besides its characters and ids.
+ENTRY = 180
 LONGEST_REMEMBERED = 64
 #: Column of the pieces' numbers.
 PIECE = "__piece"
@@ -44,6 +46,9 @@ class WordTokens(dict):
     Its splitting pattern never looks beyond white space, so a text's ids are those of its words one after another;
     words are given to the library when they are first met and remembered. A Latin word of letters alone is one
     pre-token, and a stop or comma after it another, so these go straight to the library's merges.
+
+    Words met once wait in `new`, as most are not met again; those met twice are kept. Either memory is bounded: a full
+    one becomes the older half, from which a word returns when it is met, and what was older goes.
     """
 
     def __init__(self, path: str):
@@ -54,24 +59,39 @@ class WordTokens(dict):
         self.merge = self.tokenizer.model.tokenize
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.bytes = _byte_characters()
+        self.older: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.older_new: dict[str, bytes] = {}
+        self.held = self.held_new = 0
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        lower = word.lower()
-        if lower[-1] in ".," and len(word) > 1:
-            made = self[lower[:-1]] + self[lower[-1]] if _latin(lower[:-1]) else self._encode(word)
-        elif _latin(lower):
-            made = array("I", [x.id for x in self.merge(lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.bytes))]).tobytes()
-        else:
-            made = self._encode(word)
-        if len(word) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
-                self.clear()
+        made = self.older.get(word) or self.new.pop(word, None) or self.older_new.get(word)
+        if made:
             self[word] = made
+            self.held += len(word) + len(made) + ENTRY
+            if self.held > REMEMBERED:
+                self.older, self.held = dict(self), 0
+                self.clear()
+            return made
+        made = self._ids(word)
+        if len(word) <= LONGEST_REMEMBERED:
+            self.new[word] = made
+            self.held_new += len(word) + len(made) + ENTRY
+            if self.held_new > REMEMBERED_NEW:
+                self.new, self.older_new, self.held_new = {}, self.new, 0
         return made
 
+    def _ids(self, word: str) -> bytes:
+        lower = word.lower()
+        if lower[-1] in ".," and len(word) > 1:
+            return self[lower[:-1]] + self[lower[-1]] if _latin(lower[:-1]) else self._encode(word)
+        if _latin(lower):
+            return array("I", [x.id for x in self.merge(lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+        return self._encode(word)
+
     def ids(self, text: str) -> bytes:
         if _ODD_SPACE.search(text) or any(x in text for x in self.special):
             return self._encode(text)
@@ -79,7 +99,7 @@ class WordTokens(dict):
 
 
 def _latin(word: str) -> bool:
-    return word.isalpha() and max(word) < "\u0250"
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -159,22 +179,20 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int,
 
         tokens = _word_tokens(tokenizer)
         number = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1_000):
-                part = batch.slice(first, 1_000)
-                row, start, length, total, ids = [], [], [], [], []
-                for i, data in enumerate(part.column(1).to_pylist()):
-                    data = np.frombuffer(tokens.ids(data or "") + end, dtype="<u4").astype(np.int32)
-                    for at in range(0, len(data), window):
-                        row.append(i)
-                        start.append(at)
-                        ids.append(data[at : at + window])
-                        length.append(len(ids[-1]))
-                        total.append(len(data))
-                numbers = np.arange(number, number + len(row))
-                number += len(row)
-                columns = [part.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, total))]
-                yield pa.record_batch([*columns, pa.array(ids, pa.list_(pa.int32())), pa.array(numbers, pa.int64())], names=[key, "start", "length", "doc_tokens", "ids", PIECE])
+        for part in text_slices(batches, 1):
+            row, start, length, total, ids = [], [], [], [], []
+            for i, data in enumerate(part.column(1).to_pylist()):
+                data = np.frombuffer(tokens.ids(data or "") + end, dtype="<u4").astype(np.int32)
+                for at in range(0, len(data), window):
+                    row.append(i)
+                    start.append(at)
+                    ids.append(data[at : at + window])
+                    length.append(len(ids[-1]))
+                    total.append(len(data))
+            numbers = np.arange(number, number + len(row))
+            number += len(row)
+            columns = [part.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, total))]
+            yield pa.record_batch([*columns, pa.array(ids, pa.list_(pa.int32())), pa.array(numbers, pa.int64())], names=[key, "start", "length", "doc_tokens", "ids", PIECE])
 
     schema = f"`{key}` {dict(docs.dtypes)[key]}, start long, length long, doc_tokens long, ids array<int>, {PIECE} long"
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, schema)
@@ -224,7 +242,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int, end_id: int, te
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
             yield batch.append_column("ids_crc32", pa.array(crc, pa.int64())).select(names)
 
-    placed = pieces.join(places, PIECE).drop(PIECE)
+    # merged at every size: places grow with the documents, so they are never sent to all tasks
+    placed = pieces.join(places.hint("merge"), PIECE).drop(PIECE)
     schema = f"`{key}` {dict(docs.dtypes)[key]}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
     return placed.mapInArrow(digest, schema)
 
@@ -232,4 +251,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int, end_id: int, te
 def op2_packing(spark, sf_dir):
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)

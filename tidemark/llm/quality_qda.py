@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc32, stored, table, text_bytes
+from .common import documents, id_crc32, stored, table, text_bytes, text_slices
 
 FEATURES = ("log_words", "log_word_length", "symbols", "upper", "digits", "stops", "bangs", "repeats", "distinct", "dup_lines", "marked_words", "long_words")
 #: Shrinkage of a class covariance to the pooled one, and of the result to its diagonal.
@@ -99,7 +99,7 @@ def document_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id"
     """key and x, the transformed statistics of each whole text; null texts are empty."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in text_slices(parts, 1):
             raw = np.array([statistics(t) for t in text_bytes(part.column(1))], dtype=float).reshape(-1, len(FEATURES))
             yield pa.record_batch([part.column(0), pa.array(list(transformed(raw)), pa.list_(pa.float64()))], names=[key, "x"])
 
@@ -164,13 +164,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     at = docs.columns.index(text)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            if part.num_rows:
-                raw = np.array([statistics(t) for t in text_bytes(part.column(at))], dtype=float)
-                yield part.filter(pa.array(model.scores(transformed(raw)) >= THRESHOLD))
+        for part in text_slices(parts, at):
+            raw = np.array([statistics(t) for t in text_bytes(part.column(at))], dtype=float)
+            yield part.filter(pa.array(model.scores(transformed(raw)) >= THRESHOLD))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
 
 
 def op10_quality_classifier(spark, sf_dir):
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))

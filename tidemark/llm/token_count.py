@@ -17,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import documents, text_slices
 
-#: Chunks whose count a worker remembers; beyond it the memory is emptied and built anew.
-REMEMBERED = 1_000_000
+#: Bytes of chunks and counts that a worker remembers; beyond it they become the older half, and what was older goes.
+REMEMBERED = 16 << 20
+#: Bytes of an entry besides its characters.
+ENTRY = 150
 #: Longer chunks are counted but not remembered.
 LONGEST_REMEMBERED = 64
 #: Characters of text whose chunks are held at once.
-HELD_CHARS = 4_000_000
+HELD_CHARS = 1_000_000
 #: Marks a chunk that cannot be counted by itself, as it meets other white space at an end.
 _ACROSS = 1 << 48
 _NO_RANK = np.iinfo(np.int64).max
@@ -49,6 +51,8 @@ class BpeCounter:
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+        self.held = 0
 
     def _pair_ranks(self, symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Rank of (symbol, next symbol); none at the end of a row."""
@@ -126,19 +130,15 @@ class BpeCounter:
             first, *rest = text.split(" ")
             cut.append([first, *map(" ".__add__, rest)] if text else [])
         missing = {c for chunks in cut for c in chunks if c not in self.known}
-        if missing:
-            new = self._learn(missing)
-            short = {k: v for k, v in new.items() if len(k) <= LONGEST_REMEMBERED}
-            if len(self.known) + len(short) > REMEMBERED:
-                self.known = {}
-                new |= self._learn({c for chunks in cut for c in chunks} - new.keys())
-                short = {k: v for k, v in new.items() if len(k) <= LONGEST_REMEMBERED}
-            self.known.update(short)
-            counts = {**{k: v for k, v in new.items() if k not in short}}
-            find = (lambda c, a=self.known, b=counts: a[c] if c in a else b[c]) if counts else self.known.__getitem__
-        else:
-            find = self.known.__getitem__
-        totals = [sum(map(find, chunks)) for chunks in cut]
+        again = {c: self.older[c] for c in missing if c in self.older}
+        new = again | self._learn(missing - again.keys()) if missing else {}
+        self.known.update(new)
+        totals = [sum(map(self.known.__getitem__, chunks)) for chunks in cut]
+        for c in [c for c in new if len(c) > LONGEST_REMEMBERED]:
+            del self.known[c], new[c]
+        self.held += sum(map(len, new)) + ENTRY * len(new)
+        if self.held > REMEMBERED:
+            self.known, self.older, self.held = {}, self.known, 0
         return [self._whole(t) if n >= _ACROSS else n for t, n in zip(texts, totals, strict=True)]
 
     def count(self, texts: list[str]) -> list[int]:
@@ -190,7 +190,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int, text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(tokenizer)
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             n = counter.count(texts)
             size = [len(x.encode()) for x in texts]
@@ -206,4 +206,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int, text: str = "text"
 def op3_token_counts(spark, sf_dir):
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
