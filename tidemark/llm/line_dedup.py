@@ -1,15 +1,17 @@
 """Dropping lines that many documents share, with levelled sorted runs of line hashes.
 
-Documents arrive in batches. A batch's distinct line keys are counted, anti-joined with the keys that the runs have
-already settled (counted in enough documents), and the rest becomes a new run, sorted by hash. When a level holds
-FANOUT runs they are merged into one run of the next level. At the end all runs are merged once more, and the keys
-whose count reaches the limit lose their lines.
+Documents arrive in batches. A batch's distinct line keys are counted, merge-anti-joined with the keys that each run has
+already settled (counted in enough documents), and the rest becomes a new run. Runs are tables bucketed and sorted by
+hash, so joining with one moves and sorts only the batch. When a level holds FANOUT runs they are merged, bucket by
+bucket, into one run of the next level. At the end all runs are merged once more, and the keys whose count reaches the
+limit lose their lines.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, table, text_bytes
+from .common import SPACE, fresh_path, join_apart, stored, table, text_bytes, text_slices
 
 #: Runs of one level that are merged into one of the next.
 FANOUT = 2
 #: Batches into which a whole table is dealt.
 BATCHES = 4
-#: Settled keys that are sent to all tasks (16 bytes each); with more of them the keys are joined to documents.
-MOST_SENT = 1 << 20
+#: Settled keys that are sent to all tasks (about 100 bytes each, in a set); with more of them the keys are joined to documents.
+MOST_SENT = 1 << 17
 
 
 def line_keys(text: bytes) -> tuple[list[bytes], list[bytes]]:
@@ -33,29 +35,48 @@ def line_keys(text: bytes) -> tuple[list[bytes], list[bytes]]:
     return lines, [x.strip(SPACE).lower() for x in lines]
 
 
+@contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Scans of buckets of one file each count as sorted, as they were written."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class LineRuns:
-    """Levelled runs (h1, h2, n): 128-bit line hash and number of documents, each sorted by hash."""
+    """Levelled runs (h1, h2, n): 128-bit line hash and number of documents, each bucketed and sorted by hash."""
 
     def __init__(self, spark: SparkSession, min_docs: int, fanout: int = FANOUT):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
+        self.tables: list[str] = []
 
     def _write(self, counts: DataFrame) -> DataFrame:
-        return stored(counts.sortWithinPartitions("h1", "h2"), "line-run")
+        self.tables.append(f"line_run_{uuid.uuid4().hex}")
+        path = fresh_path(self.spark, "line-run")
+        with _sorted_scans(self.spark):
+            counts.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).option("compression", "zstd").saveAsTable(self.tables[-1])
+        return self.spark.table(self.tables[-1])
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        whole = runs[0]
-        for run in runs[1:]:
-            whole = whole.unionByName(run)
-        return whole.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        whole, *others = runs
+        for run in others:
+            both = whole.withColumnRenamed("n", "a").join(run.withColumnRenamed("n", "b").hint("merge"), ["h1", "h2"], "full_outer")
+            whole = both.select("h1", "h2", (F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("n"))
+        return whole
 
     def add(self, batch: DataFrame) -> None:
         """batch: h1, h2, one row for each document and distinct key in it."""
         new = batch.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-        for level in self.levels[1:]:
-            for run in level:
-                settled = run.where(F.col("n") >= self.min_docs).select("h1", "h2")
-                new = new.join(settled, ["h1", "h2"], "left_anti")
+        for run in (run for level in self.levels for run in level):
+            settled = run.where(F.col("n") >= self.min_docs).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"))
+            # with n in the condition the join stays above the sums, so that a frequent line is summed before it is moved
+            new = new.join(settled.hint("merge"), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.col("n") > 0), "left_anti")
         self.levels[0].append(self._write(new))
         level = 0
         while len(self.levels[level]) >= self.fanout:
@@ -66,17 +87,20 @@ class LineRuns:
             level += 1
 
     def settled(self) -> DataFrame:
-        """Keys counted in at least min_docs documents."""
+        """Keys counted in at least min_docs documents, with n; stored, as the runs are dropped from the catalogue."""
         runs = [run for level in self.levels for run in level]
-        counts = runs[0] if len(runs) == 1 else self._merged(runs)
-        return counts.where(F.col("n") >= self.min_docs).select("h1", "h2")
+        with _sorted_scans(self.spark):
+            found = stored(self._merged(runs).where(F.col("n") >= self.min_docs), "settled")
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE {name}")
+        return found
 
 
 def _hash_lines(docs: DataFrame, text: str, key: str, least: int, batches: int) -> DataFrame:
     """key, h1, h2, batch: one row for each document and distinct line key of at least `least` code points."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in text_slices(parts, 1):
             row: list[int] = []
             found: list[bytes] = []
             for i, t in enumerate(text_bytes(part.column(1))):
@@ -110,7 +134,7 @@ def _apply(frame: DataFrame, columns: list[str], text: str, dropped) -> DataFram
     at = names.index(text)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in text_slices(parts, at):
             texts = part.column(at).cast(pa.binary()).to_pylist()
             if isinstance(dropped, str):
                 sets = [set(x or ()) for x in part.column(names.index(dropped)).to_pylist()]
@@ -141,13 +165,13 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, batch
     runs = LineRuns(spark, min_docs)
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b).select("h1", "h2"))
-    settled = stored(runs.settled(), "settled")
+    settled = runs.settled()
     if settled.count() <= most_sent:
         digests = {np.array([r.h1, r.h2], dtype=">i8").tobytes() for r in settled.toLocalIterator()}
         return _apply(docs, columns, text, spark.sparkContext.broadcast(digests))
     # too many for one table in each task: give each document the settled keys among its own
     packed = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("h1", "h2")])
-    own = lines.join(settled, ["h1", "h2"]).groupBy("id").agg(F.collect_set(packed).alias("__dropped"))
+    own = join_apart(lines, settled, ["h1", "h2"], lines.count()).groupBy("id").agg(F.collect_set(packed).alias("__dropped"))
     return _apply(docs.join(own, F.col(f"`{key}`").eqNullSafe(own["id"]), "left").drop(own["id"]), columns, text, "__dropped")
 
 
