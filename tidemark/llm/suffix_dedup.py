@@ -8,8 +8,8 @@ windows with one anchor is a segment. Two windows can only be equal if their seg
 1. Segments whose gram occurs once are done. Segments that are equal as wholes (gram and whole content by two
    independent 64-bit hashes) are repeated in all their windows, however many there are; they are settled by counting.
 2. Of the rest, grams with different surroundings, one segment of each content is sent on as a suffix from its anchor
-   with what stands before it. Sampled splitters range-partition the suffixes by their leading bytes, so that equal
-   leading bytes never lie across a boundary and a bucket needs no row of its neighbour. Buckets are sorted by multikey
+   with what stands before it. Sampled splitters range-partition the suffixes by their grams, so that equal grams
+   never lie across a boundary and a bucket needs no row of its neighbour. Buckets are sorted by multikey
    quicksort; common prefix lengths of neighbours, and those of the reversed left sides, tell for each place of a
    window exactly which suffixes agree over it.
 3. Grams with more than LARGE different surroundings are counted window by window instead, by hash, in a shuffle that
@@ -27,11 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_apart, stored, table, text_bytes
+from .common import documents, join_apart, stored, text_bytes, text_slices
 
 LENGTH = 400
-#: Leading bytes of a suffix by which buckets are cut.
-LEADING = 64
 #: Different surroundings of one gram that are sorted in one bucket.
 LARGE = 50_000
 #: Suffixes of a bucket.
@@ -202,7 +200,7 @@ def _segments(docs: DataFrame, length: int, buffer: int = BUFFER) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, buffer)
-        for part in parts:
+        for part in text_slices(parts, 2, buffer):
             texts = text_bytes(part.column(2))
             for data, rows, places, sizes in _pieces(texts, length, buffer):
                 sizes = np.array(sizes)
@@ -226,7 +224,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1, write_checksum=False)
-        for part in parts:
+        for part in text_slices(parts, 2):
             yield pa.record_batch([part.column(0), part.column(1), pa.array([pack.compress(t) for t in text_bytes(part.column(2))], pa.binary())], names=["did", "th", "z"])
 
     return docs.mapInArrow(run, f"did {dict(docs.dtypes)['did']}, th long, z binary")
@@ -249,6 +247,15 @@ def _window_hashes(rows: DataFrame, length: int) -> DataFrame:
     return source.mapInArrow(run, f"did {dict(rows.dtypes)['did']}, th long, p long, w1 long, w2 long")
 
 
+def _dealt(suffixes: DataFrame, bucket: int, length: int) -> DataFrame:
+    """suffixes range-partitioned by sampled splitters into buckets of about `bucket` rows.
+
+    They are cut by their whole grams: no gram lies across a boundary, and suffixes of texts with a header in common are
+    told apart behind it.
+    """
+    return suffixes.repartitionByRange(max(1, -(-suffixes.count() // bucket)), F.substring("right", 1, length // 2))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, large: int = LARGE, bucket: int = BUCKET, buffer: int = BUFFER) -> DataFrame:
     """did, th, start, end: byte ranges, overlapping ones too, whose windows of `length` bytes occur elsewhere.
 
@@ -265,8 +272,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, large: int = LARGE, bu
     whole = join_apart(met.drop("differ"), classes.where("n > 1").select("g", "c", "n"), ["g", "c"], total)
     whole = whole.select("did", "th", F.col("p").alias("start"), (F.col("p") + F.col("windows") - 1 + length).alias("end"))
     differing = classes.where("differ")
-    sizes = differing.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > large).select("g", F.lit(True).alias("large"))
-    differing = differing.join(sizes, "g", "left").select("x.*", F.coalesce("large", F.lit(False)).alias("large"))
+    kinds = differing.groupBy("g").agg(F.count(F.lit(1)).alias("n")).withColumn("large", F.col("n") > large)
+    differing = join_apart(differing.select("g", "x"), stored(kinds, "gram-kinds"), ["g"], differing.count()).select("x.*", "large")
     wanted = differing.groupBy("did", "th").agg(F.collect_list(F.struct("p", "windows", "before", "large")).alias("wanted"))
     joined = _packed(docs.where(F.octet_length("text") >= length)).join(wanted, ["did", "th"])
 
@@ -291,7 +298,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, large: int = LARGE, bu
     schema = f"did {id_type}, th long, p long, windows int, before int, left binary, right binary, large boolean"
     suffixes = stored(joined.select("did", "th", "z", "wanted").mapInArrow(cut, schema), "suffixes")
     small = suffixes.where("not large")
-    buckets = max(1, -(-small.count() // bucket))
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x for x in parts if x.num_rows]
@@ -306,9 +312,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, large: int = LARGE, bu
         yield from out.combine_chunks().to_batches(max_chunksize=50_000)
 
     span = f"did {id_type}, th long, start long, end long"
-    leading = F.substring("right", 1, min(LEADING, length // 2))  # within the gram, so a gram never lies across a boundary
-    ranged = small.repartitionByRange(buckets, leading)
-    partly = ranged.mapInArrow(compare, span)
+    partly = _dealt(small, bucket, length).mapInArrow(compare, span)
     windows = _window_hashes(suffixes.where("large"), length)
     often = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     single = windows.join(often, ["w1", "w2"], "left_semi").select("did", "th", F.col("p").alias("start"), (F.col("p") + length).alias("end"))
@@ -367,5 +371,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, large: int = LARGE, bu
 
 
 def op6_suffix_dedup(spark, sf_dir):
-    done = remove_repeats(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    done = remove_repeats(documents(spark, sf_dir))
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("spans") > 0).alias("has_repeats"))
