@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, without
+from .common import join_apart, stored, table, without
 
 #: Largest mean inverted at once; larger means are sums of equal independent parts.
 PART = 500.0
-#: Sources whose rates are sent to all tasks (about 10 kB each at the largest mean, 0.5 kB at usual ones).
+#: Sources whose rates are sent to all tasks (about 10 kB each at the largest mean, 0.5 kB at usual ones); of more, only large ones' are.
 MOST_SENT = 2_000
 
 
@@ -40,7 +40,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float], total: int | None,
     whole = sizes.agg(F.sum("size").alias("n"), F.count(F.when(F.col("share").isNull(), 1)).alias("unlisted"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("listed")).first()
     rest = max(0.0, 1.0 - whole.listed) / max(1, whole.unlisted)
     rate = F.coalesce("share", F.lit(rest)) * F.lit(float(total if total is not None else whole.n or 0)) / F.col("size")
-    rates = sizes.select("mix_source", rate.alias("rate")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
+    rates = sizes.select("mix_source", "size", rate.alias("rate")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
     mean = F.col("rate") / F.col("parts")
     last = F.ceil(mean + F.lit(12.0) * F.sqrt(mean) + F.lit(30.0)).cast("int")
     steps = F.aggregate(
@@ -60,16 +60,21 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], total: int | None =
     """
     docs = without(docs, ["copy_no", "n_copies", "shuffle_key"])
     rates = stored(source_rates(docs, weights, total, source), "mix-rates")
+    rates = rates.toDF(*[f"__mix_{c}" for c in rates.columns])
     if rates.count() <= MOST_SENT:
-        rates = F.broadcast(rates)
-    joined = docs.join(rates, F.col(f"`{source}`").eqNullSafe(F.col("mix_source")))
+        joined = docs.join(F.broadcast(rates), F.col(f"`{source}`").eqNullSafe(F.col("__mix_mix_source")))
+    else:
+        # large sources are joined apart; a null source is a name of its own
+        name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias("__source")
+        named = rates.select("*", name("__mix_mix_source"))
+        joined = join_apart(docs.select("*", name(f"`{source}`")), named, ["__source"], rates.agg(F.sum("__mix_size")).first()[0], "__mix_size")
     ident = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
-    draw = lambda j: F.size(F.filter("cdf", lambda c: c <= hash_unit(F.lit(f"draw{seed}"), ident, j.cast("string"))))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda a, j: a + draw(j))
+    draw = lambda j: F.size(F.filter("__mix_cdf", lambda c: c <= hash_unit(F.lit(f"draw{seed}"), ident, j.cast("string"))))
+    count = F.aggregate(F.sequence(F.lit(1), F.col("__mix_parts")), F.lit(0), lambda a, j: a + draw(j))
     copies = joined.withColumn("n_copies", count).where(F.col("n_copies") > 0)
     copies = copies.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     copies = copies.withColumn("shuffle_key", hash_long(F.lit(f"deal{seed}"), ident, F.col("copy_no").cast("string")))
-    out = copies.select(*[docs[c] for c in docs.columns], "copy_no", "n_copies", "shuffle_key")
+    out = copies.select(*[F.col(f"`{c}`") for c in docs.columns], "copy_no", "n_copies", "shuffle_key")
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
