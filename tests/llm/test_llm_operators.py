@@ -13,7 +13,7 @@ import xxhash
 from oracle import SMALL, connect, same
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, components, language_id, line_dedup, mixing, packing, quality_qda, quality_rules, simhash, suffix_dedup, token_count
+from tidemark.llm import ann, common, components, language_id, line_dedup, mixing, packing, quality_qda, quality_rules, simhash, suffix_dedup, token_count
 from tidemark.llm.queries import ORACLES, QUERIES
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -184,6 +184,25 @@ def test_suffix_dedup_of_repeated_ids(spark):
     assert sorted(bytes(r.kept) for r in suffix_dedup.remove_repeats(df, 6).collect()) == [b"", b"", b"bbb"]
 
 
+def test_suffix_dedup_of_a_common_header(spark):
+    """10,000 texts that begin with the same 64 bytes, in pairs that share 420 more."""
+    rnd = random.Random(21)
+    random_text = lambda n: bytes(rnd.choices(b"abcdefgh", k=n)).decode()
+    header = random_text(64)
+    texts = []
+    for _ in range(5_000):
+        body = random_text(420)
+        texts += [header + body + random_text(30), header + body + random_text(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = suffix_dedup.remove_repeats(df, bucket=500).collect()
+    # the next byte is the same by chance in one pair of eight
+    same = lambda i: next(n for n in range(484, 515) if n == 514 or texts[i][n] != texts[i ^ 1][n])
+    assert all(bytes(r.kept).decode() == texts[r.doc_id][same(r.doc_id) :] for r in out) and len(out) == 10_000
+    suffixes = df.select(F.col("text").cast("binary").alias("right"))
+    sizes = [r["count"] for r in suffix_dedup._dealt(suffixes, 500, 400).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 1_000 and len(sizes) > 15
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 3, (3000, 6)).astype(np.uint64)
@@ -311,6 +330,26 @@ def test_simhash(spark):
     assert by_jvm == xxhash.xxh64_intdigest(b"a b c", 42)
 
 
+def test_simhash_of_one_hot_fingerprint(spark):
+    """Half of all rows have no words, and a component has many fingerprints: beyond LEAST_HOT rows both are joined apart."""
+    texts = ["" if i % 2 else f"same words here {i // 4}" for i in range(6_000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in simhash.simhash_groups(docs, 3, 2).collect()}
+    fps = [simhash.fingerprint(t.encode()) for t in texts]
+    kinds = sorted(set(fps))
+    least = dict(zip(kinds, groups(kinds, [fps.index(f) for f in kinds], 2), strict=True))
+    assert got == {i: (f, least[f]) for i, f in enumerate(fps)}
+
+
+def test_join_unique_keeps_what_a_join_keeps(spark):
+    rows = spark.createDataFrame([(i % 3 if i < 3_000 else i % 700, i) for i in range(5_000)], "k long, i long")
+    values = spark.createDataFrame([(k, -k) for k in range(1, 600)], "k long, v long")
+    for how in ("inner", "left"):
+        key = lambda r: (r.k, r.i)
+        plain = sorted(rows.join(values, "k", how).collect(), key=key)
+        assert sorted(common.join_unique(rows, values, ["k"], how=how).select("k", "i", "v").collect(), key=key) == plain
+
+
 @pytest.mark.parametrize("blocks", [2, 3])
 def test_covering_finds_all_links(spark, blocks):
     rnd = random.Random(9)
@@ -408,15 +447,45 @@ def test_similar_groups(spark):
 
 
 def test_every_pair_at_an_anchor_is_decided(spark, monkeypatch):
-    """Visitors that are not linked to their leader, among themselves and with those that are, by rounds and by pairs."""
+    """Visitors that are not linked to their leaders, among themselves and with those that are."""
     linked = {(2, 3), (3, 4), (1, 5), (5, 6), (10, 11)}
     visits = spark.createDataFrame([(7, i) for i in range(1, 12)] + [(8, i) for i in (2, 6, 9)], "anchor long, node long")
-    for few in (0, 1_000):
-        monkeypatch.setattr(simhash, "FEW_PAIRS", few)
-        for block in (2, 512):
-            monkeypatch.setattr(simhash, "PAIR_BLOCK", block)
-            out = simhash.linked_at_anchors(visits, lambda met: met.where(" OR ".join(f"a = {a} AND b = {b}" for a, b in linked)))
-            assert {r.node: r.label for r in out.collect()} == {2: 2, 3: 2, 4: 2, 1: 1, 5: 1, 6: 1, 10: 10, 11: 10}
+    decide = lambda met: met.where(" OR ".join(f"a = {a} AND b = {b}" for a, b in linked))
+    for block in (2, 512):
+        monkeypatch.setattr(simhash, "PAIR_BLOCK", block)
+        out = simhash.linked_at_anchors(visits, decide, lambda nodes: nodes.selectExpr("node", "10 AS size", "10 AS most"), 0.8)
+        assert {r.node: r.label for r in out.collect()} == {2: 2, 3: 2, 4: 2, 1: 1, 5: 1, 6: 1, 10: 10, 11: 10}
+
+
+def test_similar_groups_of_many_edited_copies(spark):
+    """A group in which half of all pairs lie below the similarity: as by all pairs, though most are ruled out by bounds."""
+    rnd = random.Random(23)
+    base = [f"w{rnd.randrange(10**9)}" for _ in range(150)]
+    texts = []
+    for i in range(250):
+        words = list(base)
+        for _ in range(rnd.randint(1, 6)):
+            words[rnd.randrange(150)] = f"edit{rnd.randrange(400)}"
+        texts.append(" ".join(words))
+    sets = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for t in texts]
+    root = list(range(250))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(250):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert by_id(simhash.similar_groups(docs), "component_id") == {i: (find(i),) for i in range(250)}
+    kept = simhash.ShingleSets(docs, 5, 0.8, "text", "doc_id")
+    bounds = {r.node: (r.size, r.most) for r in kept.bounds(docs.select(F.col("doc_id").alias("node"))).collect()}
+    found = Counter(x for s in sets for x in s)
+    assert bounds == {i: (len(s), sum(found[x] > 1 for x in s)) for i, s in enumerate(sets)}
 
 
 def test_similar_groups_of_replaced_passages(spark):
