@@ -13,7 +13,7 @@ from ..functions.vessels import split_command
 from ..operators.episodes import FIRST, close_stale, latest_positions, located, zone_episodes
 from ..sources.io import upsert_episodes
 from ..sources.schemas import EPISODE, POSITION
-from ..sources.store import EpisodeLog, SnapshotStore, stored
+from ..sources.store import EpisodeLog, SnapshotStore
 from ..sources.zones import zone_catalog, zone_rings, zone_row
 
 
@@ -37,25 +37,27 @@ def zones_of(df: DataFrame, zones) -> DataFrame:
     return df.withColumn("inside", F.transform(F.filter(catalogue, lambda z: in_box(lon, lat, z["bbox"]) & within(lon, lat, z["edges"])), lambda z: z["zone"]))
 
 
-def advance(batch: DataFrame, last: DataFrame, opened: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(changed and new episodes, each vessel's last report) after a batch of reports.
-
-    last: one report of each vessel so far; reports up to it, repeated or late, change nothing. It stands in front of
-    the new ones, so the island that begins at it is the open episode of its vessel and zone, which goes on or ends.
-    """
+def new_reports(batch: DataFrame, last: DataFrame) -> DataFrame:
+    """Located reports of a batch that are later than their vessel's last one; repeated and late ones change nothing."""
     at = F.struct("ts", "event_id")
     seen = last.select("mmsi", at.alias("__at"))
-    fresh = stored(located(batch).join(seen, "mmsi", "left").where(F.col("__at").isNull() | (at > F.col("__at"))).drop("__at").select(*POSITION.names), "fresh-reports")
-    moved = fresh.select("mmsi").distinct()
-    found = zone_episodes(last.join(moved, "mmsi", "left_semi").unionByName(fresh), zones)
+    return located(batch).join(seen, "mmsi", "left").where(F.col("__at").isNull() | (at > F.col("__at"))).select(*POSITION.names)
+
+
+def advance(fresh: DataFrame, last: DataFrame, opened: DataFrame, zones: DataFrame) -> DataFrame:
+    """Changed and new episodes after a batch of new reports.
+
+    last: one report of each vessel so far. It stands in front of the new ones, so the island that begins at it is the
+    open episode of its vessel and zone, which goes on or ends.
+    """
+    found = zone_episodes(last.join(fresh.select("mmsi").distinct(), "mmsi", "left_semi").unionByName(fresh), zones)
     # reports at one time are told apart by their ids, and so may be islands that begin at it
     first = F.row_number().over(Window.partitionBy("mmsi", "zone").orderBy("tsDetected", "tsCurrent", F.asc_nulls_last("tsOut"))) == 1
     was = opened.select("mmsi", "zone", *[F.col(c).alias(f"__{c}") for c in ("id", "tsDetected", *FIRST)])
     joined = found.withColumn("__first", first).join(was, ["mmsi", "zone"], "left")
     goes_on = F.col("__first") & F.col("__tsDetected").isNotNull()
     kept = {c: F.when(goes_on, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("id", "tsDetected", *FIRST)}
-    changes = stored(joined.withColumns(kept).select(*EPISODE.names), "episode-changes")
-    return changes, latest_positions(last.unionByName(fresh))
+    return joined.withColumns(kept).select(*EPISODE.names)
 
 
 def episode_sink(spark: SparkSession, path: str, zones) -> tuple[EpisodeLog, Callable[[DataFrame, int], None]]:
@@ -64,9 +66,12 @@ def episode_sink(spark: SparkSession, path: str, zones) -> tuple[EpisodeLog, Cal
 
     def write(reports: DataFrame, batch: int) -> None:
         opened, last = log.open.previous(batch), log.last.previous(batch)
-        changes, newest = advance(reports.withColumn("ts", F.col("ts").cast("timestamp_ntz")), last, opened, catalogue)
+        fresh = new_reports(reports.withColumn("ts", F.col("ts").cast("timestamp_ntz")), last).persist()
+        changes = advance(fresh, last, opened, catalogue).persist()
         others = opened.join(changes.select("mmsi", "zone").distinct(), ["mmsi", "zone"], "left_anti")
-        log.write(batch, others.unionByName(changes), newest)
+        log.write(batch, others.unionByName(changes), latest_positions(last.unionByName(fresh)))
+        changes.unpersist()
+        fresh.unpersist()
 
     return log, write
 
