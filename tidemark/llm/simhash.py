@@ -18,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_apart, stored, table, text_bytes
+from .common import documents, join_apart, join_unique, stored, text_bytes, text_slices
 from .components import connected_components
 
 #: Fingerprints beyond which a third block is taken, so that anchors stay sparsely visited.
@@ -132,7 +132,7 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", key: str =
     """key and fp (64 bits in a long) of each whole text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in text_slices(parts, 1):
             fps = np.array([fingerprint(t, words) for t in text_bytes(part.column(1))], dtype=np.uint64).view(np.int64)
             yield pa.record_batch([part.column(0), pa.array(fps)], names=[key, "fp"])
 
@@ -147,13 +147,14 @@ def simhash_groups(docs: DataFrame, words: int = 3, threshold: int = 2, text: st
     empty table gives no rows.
     """
     own = stored(fingerprints(docs, words, text, key), "fingerprints")
-    classes = stored(own.groupBy("fp").agg(F.min(key).alias("least")), "fingerprint-classes")
+    classes = stored(own.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-classes")
     edges = stored(link_fingerprints(classes, threshold), "fingerprint-links")
     labels = connected_components(edges)
-    named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = classes.drop("n").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = stored(named, "fingerprint-labels")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    groups = named.select("fp", "label").join(least, "label").select("fp", "component_id")
-    return own.join(groups, "fp").select(key, "fp", "component_id")
+    groups = stored(join_unique(named.select("fp", "label"), least, ["label"]).select("fp", "component_id"), "fingerprint-groups")
+    return join_unique(own, groups, ["fp"], classes).select(key, "fp", "component_id")
 
 
 #: Bits of the long fingerprints, which estimate a similarity; groups are decided by exact ones.
@@ -162,8 +163,8 @@ BITS = 256
 #: probability (1 - j ** DEPTH) ** BANDS, however they differ: 3e-6 at 0.8, 1e-8 at 0.85.
 BANDS, DEPTH = 32, 5
 _SEED = 20
-#: Open pairs for each visit at which all are decided at once, and visitors of an anchor that are paired in one block.
-FEW_PAIRS, PAIR_BLOCK = 2, 512
+#: Visitors of an anchor that are paired in one block.
+PAIR_BLOCK = 512
 #: Keys of near copies that are sent to all tasks (16 MB of them); with more, texts are shuffled to them.
 MOST_SENT = 1 << 20
 
@@ -196,8 +197,8 @@ class MinHashes:
 
     def anchors(self, hashes: np.ndarray) -> np.ndarray:
         least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, dtype=np.uint64)
-        for at in range(0, len(hashes), 4_096):
-            x = hashes[at : at + 4_096, None] * self.mul + self.add
+        for at in range(0, len(hashes), 1_024):
+            x = hashes[at : at + 1_024, None] * self.mul + self.add
             # low bits of a product depend on low bits only, so the high ones are folded in and multiplied again
             x = (x ^ x >> np.uint64(32)) * self.mul
             least = np.minimum(least, (x ^ x >> np.uint64(29)).min(axis=0))
@@ -211,92 +212,134 @@ def _shingled(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minima = MinHashes()
-        for part in parts:
-            for at in range(0, part.num_rows, 1_000):
-                piece = part.slice(at, 1_000)
-                digests, anchors = [], []
-                for t in text_bytes(piece.column(1)):
-                    hashes = shingle_hashes(t, words)
-                    digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                    anchors.append(minima.anchors(hashes))
-                yield pa.record_batch([piece.column(0), pa.array(digests, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], names=[key, "s", "anchors"])
+        for part in text_slices(parts, 1):
+            digests, anchors = [], []
+            for t in text_bytes(part.column(1)):
+                hashes = shingle_hashes(t, words)
+                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                anchors.append(minima.anchors(hashes))
+            yield pa.record_batch([part.column(0), pa.array(digests, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], names=[key, "s", "anchors"])
 
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, s binary, anchors array<long>")
 
 
-def _similar_pairs(met: DataFrame, docs: DataFrame, words: int, similarity: float, text: str, key: str) -> DataFrame:
-    """Those of the pairs (a, b) of keys whose texts' shingle sets have a Jaccard similarity of at least `similarity`."""
-    node_type = dict(docs.dtypes)[key]
-    nodes = stored(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met-nodes")
-    if nodes.count() <= MOST_SENT:
-        nodes = F.broadcast(nodes)
-
-    def shingle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for at in range(0, part.num_rows, 1_000):
-                piece = part.slice(at, 1_000)
-                sets = [shingle_hashes(t, words).view(np.int64) for t in text_bytes(piece.column(1))]
-                yield pa.record_batch([piece.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "h"])
-
-    def agree(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            near = []
-            for i in range(part.num_rows):
-                x, y = (part.column(c)[i].values.to_numpy() for c in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
-                near.append(both >= similarity * (len(x) + len(y) - both))
-            yield part.filter(pa.array(near, pa.bool_())).select(["a", "b"])
-
-    read = docs.select(F.col(key).alias("node"), F.col(text).cast("string")).join(nodes, "node", "left_semi")
-    sets = stored(read.mapInArrow(shingle, f"node {node_type}, h array<long>"), "shingle-sets")
-    met = met.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
-    return met.select("a", "b", "ha", "hb").mapInArrow(agree, f"a {node_type}, b {node_type}")
-
-
-def linked_at_anchors(visits: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+class ShingleSets:
+    """Sets of shingle hashes of documents, for those of their keys that are asked for."""
+
+    def __init__(self, docs: DataFrame, words: int, similarity: float, text: str, key: str):
+        self.texts = docs.select(F.col(key).alias("node"), F.col(text).cast("string").alias("text"))
+        self.words, self.similarity = words, similarity
+        self.kept: DataFrame | None = None
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """node and h of the nodes (distinct, in a stored table)."""
+        words = self.words
+
+        def shingle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in text_slices(parts, 1):
+                sets = [shingle_hashes(t, words).view(np.int64) for t in text_bytes(part.column(1))]
+                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "h"])
+
+        wanted = F.broadcast(nodes) if nodes.count() <= MOST_SENT else nodes
+        return stored(self.texts.join(wanted, "node", "left_semi").mapInArrow(shingle, f"node {dict(nodes.dtypes)['node']}, h array<long>"), "shingle-sets")
+
+    def bounds(self, nodes: DataFrame) -> DataFrame:
+        """node, size and most, the number of its shingles that any other of the nodes has; keeps their sets for similar()."""
+        self.kept = self.of(nodes)
+        # a key may be repeated with other texts, so sets are told apart by a hash of their own
+        sets = self.kept.withColumn("set", F.xxhash64("node", "h"))
+        once = sets.select("set", F.explode("h").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("set")).where("n = 1")
+        alone = once.groupBy("set").agg(F.count(F.lit(1)).alias("alone"))
+        sizes = sets.select("node", "set", F.size("h").alias("size")).join(alone, "set", "left")
+        return sizes.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).cast("int").alias("most"))
+
+    def similar(self, met: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least `similarity`."""
+        similarity, kind = self.similarity, dict(met.dtypes)["a"]
+
+        def agree(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                near = []
+                for i in range(part.num_rows):
+                    x, y = (part.column(c)[i].values.to_numpy() for c in (2, 3))
+                    both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                    near.append(both >= similarity * (len(x) + len(y) - both))
+                yield part.filter(pa.array(near, pa.bool_())).select(["a", "b"])
+
+        sets = self.kept
+        if sets is None:
+            sets = self.of(stored(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met-nodes"))
+        # sets are too large to be sent to all tasks; the rows of a hot leader are split by adaptive execution
+        met = met.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
+        return met.select("a", "b", "ha", "hb").mapInArrow(agree, f"a {kind}, b {kind}")
+
+
+def linked_at_anchors(visits: DataFrame, decide: Callable[[DataFrame], DataFrame], bounds: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """node and label (least node of the group) of each linked node, from anchor visits (anchor, node; no repeats).
 
     decide keeps the pairs (a, b) that are linked. Any two visitors of an anchor are decided, unless links found before
-    join them. In a round the visitors of each anchor are compared with one leader of another group there, and groups are
-    joined; so near copies cost their rows. Once the open pairs, those of different groups, are few, or a round has left
-    over half of them, all of them are decided: what shares anchors without being linked can only be known by pairs.
+    join them or bounds say that they can't be linked:
+    1. The visitors of each anchor are compared with one of them, so near copies cost their rows.
+    2. Of anchors that still hold several groups, bounds gives each visitor's size and the most that it can share with
+       any other visitor there. Who can't reach the similarity leaves; the rest is compared with the visitor that shares
+       most of its own, which of many edited copies is the least edited one.
+    3. The pairs of different groups that are left are decided, where both bounds allow the similarity.
     """
-    node_type = dict(visits.dtypes)["node"]
     total = (visits := stored(visits, "anchor-visits")).count()
     shared = stored(visits.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-anchors")
-    visits = live = stored(join_apart(visits, shared, ["anchor"], total), "shared-visits")
-    labels = visits.select("node", F.col("node").alias("label")).limit(0)
-    seen = edges = visits.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    live, before, no = live.withColumn("label", F.col("node")), None, 0
-    while True:
-        here = live.groupBy("anchor", "label").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64(F.lit(no), "node").alias("h"), "node")).alias("first"))
-        at = here.groupBy("anchor").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"), F.min(F.struct("first.h", "first.node", "label")).alias("leader"))
-        at = stored(at.where(F.col("n") * F.col("n") > F.col("within")), "open-anchors")
-        size, still = at.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
-        if not still:
-            return labels
-        every = still <= FEW_PAIRS * size or before is not None and 2 * still > before
-        if every:
-            met = _open_pairs(join_apart(live, at.select("anchor", "n", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks")), ["anchor"], total))
-        else:
-            led = join_apart(live, at.select("anchor", "n", F.col("leader.node").alias("to"), F.col("leader.label").alias("other")), ["anchor"], total)
-            met = led.where(F.col("label") != F.col("other")).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
-        met = stored(met.distinct().join(seen, ["a", "b"], "left_anti"), "met-pairs")
-        found = stored(decide(met).select("a", "b"), "similar-links")
+    visits = stored(join_apart(visits, shared, ["anchor"], total), "shared-visits")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+    first = visits.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("to"))
+    seen = stored(join_apart(visits, first, ["anchor"], total).where("node <> to").select(*pair("node", "to")).distinct(), "met-pairs")
+    edges = stored(decide(seen).select("a", "b"), "similar-links")
+    labels = connected_components(edges)
+    live = _open_visits(visits, labels, total)
+    if live is None:
+        return labels
+
+    reach = stored(bounds(stored(live.select("node").distinct(), "open-nodes")).where(F.col("most") >= similarity * F.col("size")), "set-bounds")
+    live = stored(live.join(reach, "node"), "open-visits")
+    central = F.max(F.struct((F.col("most") / F.col("size")).alias("share"), F.xxhash64("node").alias("h"), "node", "label", "size", "most"))
+    lead = live.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), central.alias("c")).select("anchor", "n", "c.node", "c.label", "c.size", "c.most").toDF("anchor", "n", "to", "other", "size2", "most2")
+    met = join_apart(live, lead, ["anchor"], total).where((F.col("label") != F.col("other")) & _possible("size", "most", "size2", "most2", similarity))
+    met = stored(met.select(*pair("node", "to")).distinct().join(seen, ["a", "b"], "left_anti"), "met-pairs")
+    found, seen = stored(decide(met).select("a", "b"), "similar-links"), seen.union(met)
+    if not found.isEmpty():
         edges = edges.union(found)
         labels = connected_components(edges)
-        if every:
-            return labels
-        seen, before, no = seen.union(met), still, no + 1
-        live = stored(visits.join(labels, "node", "left").select("anchor", "node", F.coalesce("label", "node").cast(node_type).alias("label")), "labelled-visits")
+    live = _open_visits(live.drop("label"), labels, total)
+    if live is None:
+        return labels
+    met = stored(_open_pairs(live, similarity, total).distinct().join(seen, ["a", "b"], "left_anti"), "met-pairs")
+    found = stored(decide(met).select("a", "b"), "similar-links")
+    return labels if found.isEmpty() else connected_components(edges.union(found))
 
 
-def _open_pairs(live: DataFrame) -> DataFrame:
-    """Pairs a < b of nodes of different labels at one anchor; large anchors are cut into blocks, joined two by two."""
-    own = live.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    a = own.select("anchor", F.col("own").alias("i"), F.col("other").alias("j"), F.col("node").alias("a"), F.col("label").alias("x"))
-    b = own.select("anchor", F.col("other").alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("label").alias("y"))
-    return a.join(b, ["anchor", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("x") != F.col("y"))).select("a", "b")
+def _open_visits(visits: DataFrame, labels: DataFrame, total: int) -> DataFrame | None:
+    """visits, with labels, of anchors that hold several groups; None if there are none."""
+    node_type = dict(visits.dtypes)["node"]
+    live = stored(visits.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node").cast(node_type)), "labelled-visits")
+    groups = live.groupBy("anchor", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("anchor").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("groups"))
+    at = stored(groups.where("groups > 1").select("anchor", "n"), "open-anchors")
+    return None if at.isEmpty() else stored(join_apart(live, at, ["anchor"], total), "open-visits")
+
+
+def _possible(size: str, most: str, size2: str, most2: str, similarity: float) -> Column:
+    """Can sets of two sizes, of which at most so many are shared with others, have this Jaccard similarity?"""
+    shared = F.least(most, most2)
+    return shared >= similarity * (F.col(size) + F.col(size2) - shared)
+
+
+def _open_pairs(live: DataFrame, similarity: float, total: int) -> DataFrame:
+    """Possible pairs a < b of nodes of different labels at one anchor; large anchors are cut into blocks, joined two by two."""
+    sizes = live.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / PAIR_BLOCK).cast("int"))
+    live = join_apart(live, sizes, ["anchor"], total)
+    own = live.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a = own.select("anchor", F.col("own").alias("i"), F.col("at").alias("j"), F.col("node").alias("a"), F.col("label").alias("x"), F.col("size").alias("s1"), F.col("most").alias("m1"))
+    b = own.select("anchor", F.col("at").alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("label").alias("y"), F.col("size").alias("s2"), F.col("most").alias("m2"))
+    apart = (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & _possible("s1", "m1", "s2", "m2", similarity)
+    return a.join(b, ["anchor", "i", "j"]).where(apart).select("a", "b")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -304,18 +347,19 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
 
     Candidates are texts that share one of BANDS anchors, each made of minimal hashes of their shingles. Whether two
     texts meet depends on the similarity of their shingle sets alone, not on where or how they differ. Any two visitors
-    of an anchor are compared by their sets of 64-bit shingle hashes, or in one group already (linked_at_anchors).
+    of an anchor are compared by their sets of 64-bit shingle hashes, in one group already, or too full of shingles that
+    nobody shares (linked_at_anchors).
 
     Texts with equal sets, all texts without words too, are one class from the start. Null keys have
     no component (null). Repeated rows share one. Other columns are not read. An empty table gives no rows.
     """
     own = stored(_shingled(docs, words, text, key), "shingled")
     classes = stored(own.where(F.col(key).isNotNull()).groupBy("s").agg(F.min(key).alias("node"), F.first("anchors").alias("anchors")), "shingle-classes")
-    visits = classes.select("node", F.explode("anchors").alias("anchor"))
-
-    labels = linked_at_anchors(visits, lambda met: _similar_pairs(met, docs, words, similarity, text, key))
-    named = classes.join(labels, "node", "left").select("s", F.coalesce("label", "node").alias("component_id"))
-    return own.select(key, "s").join(named, "s", "left").select(key, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
+    visits = classes.select("node", F.explode("anchors").alias("anchor")).distinct()
+    sets = ShingleSets(docs, words, similarity, text, key)
+    labels = linked_at_anchors(visits, sets.similar, sets.bounds, similarity)
+    named = stored(classes.join(labels, "node", "left").select("s", F.coalesce("label", "node").alias("component_id")), "shingle-groups")
+    return join_unique(own.select(key, "s"), named, ["s"], how="left").select(key, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -331,5 +375,5 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, t
 
 
 def op8_simhash(spark, sf_dir):
-    groups = simhash_groups(table(spark, sf_dir, "documents"), words=3, threshold=2)
+    groups = simhash_groups(documents(spark, sf_dir), words=3, threshold=2)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
