@@ -332,13 +332,18 @@ def _possible(size: str, most: str, size2: str, most2: str, similarity: float) -
 
 
 def _open_pairs(live: DataFrame, similarity: float, total: int) -> DataFrame:
-    """Possible pairs a < b of nodes of different labels at one anchor; large anchors are cut into blocks, joined two by two."""
+    """Possible pairs a < b of nodes of different labels, each at the least anchor that both visit.
+
+    Large anchors are cut into blocks, joined two by two.
+    """
+    live = live.join(live.groupBy("node").agg(F.array_sort(F.collect_set("anchor")).alias("anchors")), "node")
     sizes = live.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / PAIR_BLOCK).cast("int"))
     live = join_apart(live, sizes, ["anchor"], total)
     own = live.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    a = own.select("anchor", F.col("own").alias("i"), F.col("at").alias("j"), F.col("node").alias("a"), F.col("label").alias("x"), F.col("size").alias("s1"), F.col("most").alias("m1"))
-    b = own.select("anchor", F.col("at").alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("label").alias("y"), F.col("size").alias("s2"), F.col("most").alias("m2"))
+    a = own.select("anchor", F.col("own").alias("i"), F.col("at").alias("j"), F.col("node").alias("a"), F.col("label").alias("x"), F.col("size").alias("s1"), F.col("most").alias("m1"), F.col("anchors").alias("v1"))
+    b = own.select("anchor", F.col("at").alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("label").alias("y"), F.col("size").alias("s2"), F.col("most").alias("m2"), F.col("anchors").alias("v2"))
     apart = (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & _possible("s1", "m1", "s2", "m2", similarity)
+    apart &= F.col("anchor") == F.array_min(F.array_intersect("v1", "v2"))
     return a.join(b, ["anchor", "i", "j"]).where(apart).select("a", "b")
 
 
