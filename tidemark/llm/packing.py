@@ -23,7 +23,7 @@ from .common import documents, stored, text_slices
 #: Pieces packed together in one task. A group leaves at most a few windows partly empty.
 GROUP = 65_536
 #: Bytes of words and ids that a worker remembers, twice over, of words met again and of new ones.
-REMEMBERED, REMEMBERED_NEW = 24 << 20, 8 << 20
+REMEMBERED, REMEMBERED_NEW = 40 << 20, 12 << 20
 #: Bytes of an entry besides its characters and ids.
 ENTRY = 180
 LONGEST_REMEMBERED = 64
