@@ -103,6 +103,13 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as one character: printable Latin-1 ones as themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def id_crc32(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; null ids give null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stored, text_slices
+from .common import byte_characters, documents, stored, text_slices
 
 #: Pieces packed together in one task. A group leaves at most a few windows partly empty.
 GROUP = 65_536
@@ -33,13 +33,6 @@ PIECE = "__piece"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
-def _byte_characters() -> dict[int, str]:
-    """Byte-level vocabularies write each byte as one character: printable Latin-1 ones as themselves, the others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = (b for b in range(256) if b not in plain)
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
 class WordTokens(dict):
     """Ids of words, as little-endian uint32 bytes, for a lower-casing tokenizer that drops white space.
 
@@ -58,7 +51,7 @@ class WordTokens(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bytes = _byte_characters()
+        self.bytes = byte_characters()
         self.older: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
         self.older_new: dict[str, bytes] = {}
