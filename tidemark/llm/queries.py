@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, ann, language_id, line_dedup, mixing, packing, quality_qda, quality_rules, simhash, suffix_dedup, token_count
+from . import alignment, ann, hard_negatives, language_id, line_dedup, minhash, mixing, packing, quality_qda, quality_rules, simhash, suffix_dedup, token_count
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -16,6 +16,14 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_quality_classifier": quality_qda.op10_quality_classifier,
     "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
+    "op12_minhash": minhash.op12_minhash,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
-ORACLES = {"op1_source_mixing": mixing.OP1_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op9_quality_rules": quality_rules.OP9_SQL}
+ORACLES = {
+    "op1_source_mixing": mixing.OP1_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
+    "op9_quality_rules": quality_rules.OP9_SQL,
+    "op12_minhash": minhash.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
+}
