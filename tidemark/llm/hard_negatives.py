@@ -218,7 +218,7 @@ def mine_hard_negatives(
     blocks = max(1, -(-classes.count() // block))
     wanted = own.groupBy("cid").agg(F.array_sort(F.collect_set("target")).alias("targets"))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("string"))
-    asking = seeking.drop("targets").join(wanted, "cid").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("string"))
+    asking = seeking.drop("targets").join(wanted, "cid").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("part").cast("string")).drop("part")
     found = _lists(_met(dealt, asking, dim, negatives_in, top_n, low, high), classes, top_n)
     met = own.join(found.select(F.col("q").alias("cid"), "target", "best"), ["cid", "target"])
     out = met.select("id", "positive", "target", F.posexplode(F.slice(F.filter("best", lambda x: x["id"] != F.col("id")), 1, negatives)).alias("p", "x"))
