@@ -7,7 +7,7 @@ import pytest
 from oracle import SMALL
 from pyspark.sql import functions as F
 
-from tidemark.llm import minhash
+from tidemark.llm import minhash, setjoin
 
 ODD = [None, "", " ", "\n", "a", "A", "a b", "a\tB", "a b c d", "A B C D", "é ü", "É ü", "x" * 400_000, "w " * 60_000, "w w w w"]
 
@@ -82,8 +82,7 @@ def test_edited_copies(spark, seed):
 
 
 def test_one_large_family(spark, monkeypatch):
-    """Copies of one text with blocks of two visitors, so that long posting lists are cut, beside very many equal texts."""
-    monkeypatch.setattr(minhash, "BLOCK", 2)
+    """Copies of one text, paired by their sets in one round and with texts shuffled to keys, beside very many equal texts."""
     monkeypatch.setattr(minhash, "ROUNDS", 1)
     monkeypatch.setattr(minhash, "MOST_SENT", 0)
     texts = families(7, n=1, copies=60, size=80)
@@ -110,3 +109,23 @@ def test_postings_agree_as_sets_do():
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert minhash.near_duplicates(spark.range(3).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))).where("kept").count() == 3
+
+
+@pytest.mark.parametrize("block", [setjoin.BLOCK, 3])
+def test_possible_pairs_lose_none(spark, block):
+    """Every similar pair of different labels is possible, and few others of a family are."""
+    texts = families(11, n=3, copies=40, size=90)
+    sets = [sorted(minhash.shingle_set(t.encode(), 4).view("int64").tolist()) for t in texts] + [[], [1], [1]]
+    rows = [(i, i % 7 if i % 5 else -1, h) for i, h in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, label long, h array<long>").repartition(3)
+    found = [tuple(r) for r in setjoin.possible_pairs(df, 80, block).collect()]
+    assert len(found) == len(set(found))
+    similar, pairs = set(), 0
+    for i, (_, x, p) in enumerate(rows):
+        for j in range(i):
+            both = len(set(p) & set(rows[j][2]))
+            if rows[j][1] != x:
+                pairs += both > 0
+                if both and 100 * both >= 80 * (len(p) + len(rows[j][2]) - both):
+                    similar.add((j, i))
+    assert similar and similar <= set(found) and len(found) < pairs / 2

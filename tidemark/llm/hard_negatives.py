@@ -240,4 +240,4 @@ OP13_SQL = """WITH v AS (
 ), p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
 SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
 FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.s <= 100 * n.s AND 100 * n.s <= 100 * p.s
-QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b)"""
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) QUALIFY row_number() OVER w <= 5"""

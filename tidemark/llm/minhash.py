@@ -11,8 +11,9 @@ So only prefixes are merged. Of those that meet in one, collisions are counted o
 MATCHES or more are decided by their full sets.
 
 Texts of equal sets are one class from the start. A posting list may still hold thousands of edited copies, so its
-visitors are first compared with one of them, the same one wherever it can be, a few times over; pairs are made only of
-those that are not in one group by then, each at the first posting that both have, in blocks of a bounded size.
+visitors are first compared with one of them, the one whose postings most others share, which of many edited copies is
+the least edited. Visitors of lists that hold several groups after that are paired by their full sets (setjoin): a pair
+is made only if the elements that both can share suffice.
 """
 
 from __future__ import annotations
@@ -27,14 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import documents, join_apart, join_unique, stored, text_bytes, text_slices
 from .components import connected_components
+from .setjoin import possible_pairs
 
 #: Coordinates of a signature, and how many of them near copies agree in at least. Texts of similarity 0.8 miss it with
-#: probability 4e-10 (binomial), more similar ones more rarely.
-HASHES, MATCHES = 48, 21
+#: probability 2e-8 (binomial), more similar ones more rarely.
+HASHES, MATCHES = 32, 12
 #: Rounds in which the visitors of a posting are compared with one of them.
-ROUNDS = 3
-#: Visitors of a posting that are paired in one block.
-BLOCK = 512
+ROUNDS = 2
 #: Keys of candidates that are sent to all tasks; with more, texts are shuffled to them.
 MOST_SENT = 1 << 20
 _SEED = 12
@@ -93,7 +93,7 @@ class FullSets:
         self.classes = classes.select("node", "key", "s")
         self.words, self.percent = words, percent
 
-    def _sets(self, nodes: DataFrame) -> DataFrame:
+    def of(self, nodes: DataFrame) -> DataFrame:
         """node and h of the given nodes: texts are found again by a key of their class, and told apart by digests."""
         words = self.words
 
@@ -121,20 +121,21 @@ class FullSets:
                     near.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield part.filter(pa.array(near, pa.bool_())).select(["a", "b"])
 
-        sets = self._sets(met.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        sets = self.of(met.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         # sets are too large to be sent to all tasks; the pairs of a node that many are compared with are split by adaptive execution
         met = met.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
         return met.select("a", "b", "ha", "hb").mapInArrow(agree, "a long, b long")
 
 
 def posting_lists(classes: DataFrame) -> DataFrame:
-    """node, n, postings (those that others share, rarest first) and prefix of the classes that can agree with others."""
+    """node, n, weight (how often its postings are shared), postings (those that others share, rarest first) and prefix of the classes that can agree with others."""
     posts = classes.select("node", "n", F.explode("postings").alias("post"))
     total = posts.count()
     shared = stored(posts.groupBy("post").agg(F.count(F.lit(1)).alias("held")).where("held > 1").withColumn("rarity", F.col("held")), "shared-postings")
     met = join_apart(posts, shared, ["post"], total, "held")
     lists = met.groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("rarity", "post"))).alias("x")).where(F.size("x") >= MATCHES)
-    lists = lists.select("node", "n", F.col("x.post").alias("postings"))
+    weight = F.aggregate("x.rarity", F.lit(0).cast("long"), lambda n, r: n + r).alias("weight")
+    lists = lists.select("node", "n", weight, F.col("x.post").alias("postings"))
     return stored(lists.withColumn("prefix", F.slice("postings", F.lit(1), F.size("postings") - (MATCHES - 1))), "posting-lists")
 
 
@@ -146,59 +147,44 @@ def _sizes_allow(x: str, y: str, percent: int):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _open(visits: DataFrame, labels: DataFrame | None, total: int) -> DataFrame:
-    """visits (node, post) of postings that hold several groups, with the groups' labels."""
-    if labels is None:
-        live = visits.withColumn("label", F.col("node"))
-    else:
-        live = stored(visits.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled-visits")
-    groups = live.groupBy("post", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("post").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("groups"))
+def _open(visits: DataFrame, total: int) -> DataFrame:
+    """Those of the visits (post, node, label, weight, led) whose posting holds several groups."""
+    groups = visits.groupBy("post", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("post").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("groups"))
     at = stored(groups.where("groups > 1").select("post", "n"), "open-postings")
-    return stored(join_apart(live, at, ["post"], total), "open-visits")
+    return stored(join_apart(visits, at, ["post"], total), "open-visits")
 
 
 def link_groups(lists: DataFrame, sets: FullSets, percent: int) -> DataFrame:
     """node and label (least node of the group) of each linked node."""
-    visits = lists.select("node", F.explode("prefix").alias("post"))
+    visits = lists.select("node", F.col("node").alias("label"), "weight", F.lit(False).alias("led"), F.explode("prefix").alias("post"))
     total = visits.count()
-    collide = lambda x, y: F.size(F.array_intersect(x, y)) >= MATCHES
     a, b = (lists.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("postings").alias(f"p{c}")) for c in "ab")
-    live, labels, edges, seen = _open(visits, None, total), None, None, None
-    for turn in range(ROUNDS):
-        to = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "label"))
-        lead = live.groupBy("post").agg(F.count(F.lit(1)).alias("n"), to.alias("x")).select("post", "n", F.col("x.node").alias("to"), F.col("x.label").alias("other"))
+    collide = F.size(F.array_intersect("pa", "pb")) >= MATCHES
+    live, labels, edges, seen = _open(visits, total), None, None, None
+    for _ in range(ROUNDS):
+        # the most central visitor that is in no group of an earlier leader of this posting
+        to = F.max(F.struct("weight", F.xxhash64("node").alias("h"), "node", "label"))
+        lead = live.where("NOT led").groupBy("post").agg(to.alias("x")).select("post", F.col("x.node").alias("to"), F.col("x.label").alias("other"))
+        lead = stored(lead.join(live.groupBy("post").agg(F.count(F.lit(1)).alias("n")), "post"), "leaders")
         met = join_apart(live, lead, ["post"], total).where("label <> other").select(*_pair("node", "to")).distinct()
         met = met if seen is None else met.join(seen, ["a", "b"], "left_anti")
-        met = stored(met.join(a, "a").join(b, "b").where(_sizes_allow("na", "nb", percent) & collide("pa", "pb")).select("a", "b"), "met-pairs")
+        met = stored(met.join(a, "a").join(b, "b").where(_sizes_allow("na", "nb", percent) & collide).select("a", "b"), "met-pairs")
         seen = met if seen is None else seen.union(met)
         found = stored(sets.similar(met), "similar-links")
         edges = found if edges is None else edges.union(found)
-        if turn == 0 or not found.isEmpty():
-            labels = connected_components(edges)
-            live = _open(live, labels, total)
+        labels = connected_components(edges) if labels is None or not found.isEmpty() else labels
+        new = live.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        of = lead.join(labels.withColumnRenamed("node", "to"), "to", "left").select("post", F.coalesce("label", "to").alias("of"), "n")
+        live = _open(join_apart(stored(new, "labelled-visits"), stored(of, "led-labels"), ["post"], total).withColumn("led", F.col("led") | (F.col("label") == F.col("of"))).drop("of"), total)
         if live.isEmpty():
             return labels
-    met = stored(_open_pairs(live, lists, percent, total).join(seen, ["a", "b"], "left_anti"), "met-pairs")
+    nodes = stored(live.select("node", "label").distinct(), "open-nodes")
+    open_sets = stored(sets.of(nodes.select("node")).dropDuplicates(["node"]).join(nodes, "node"), "open-sets")
+    met = stored(possible_pairs(open_sets, percent).join(seen, ["a", "b"], "left_anti"), "met-pairs")
     found = stored(sets.similar(met), "similar-links")
     return labels if found.isEmpty() else connected_components(edges.union(found))
 
 
-def _open_pairs(live: DataFrame, lists: DataFrame, percent: int, total: int) -> DataFrame:
-    """Pairs a < b of nodes of different labels that agree in MATCHES postings, each at the first one that both prefixes hold.
-
-    Long posting lists are cut into blocks, joined two by two.
-    """
-    live = live.join(lists, "node")
-    sizes = live.groupBy("post").agg(F.count(F.lit(1)).alias("held")).withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
-    live = join_apart(live, stored(sizes, "open-sizes"), ["post"], total, "held")
-    own = live.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = lambda c, i, j: own.select("post", F.col(i).alias("i"), F.col(j).alias("j"), F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("label", "n", "postings", "prefix")])
-    apart = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _sizes_allow("n_a", "n_b", percent)
-    apart &= F.size(F.array_intersect("postings_a", "postings_b")) >= MATCHES
-    apart &= F.col("post") == F.get(F.array_intersect("prefix_a", "prefix_b"), 0)
-    return side("a", "own", "at").join(side("b", "at", "own"), ["post", "i", "j"]).where(apart).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, component_id and kept of each row; sets of `words`-word shingles link at a Jaccard similarity of `percent` %.
 

@@ -12,6 +12,7 @@ different fingerprints lie within 2 bits of one another's centre, which bounds w
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, join_apart, join_unique, stored, text_bytes, text_slices
 from .components import connected_components
+from .setjoin import possible_pairs
 
 #: Fingerprints beyond which a third block is taken, so that anchors stay sparsely visited.
 LARGE = 1 << 27
@@ -253,6 +255,14 @@ class ShingleSets:
         sizes = sets.select("node", "set", F.size("h").alias("size")).join(alone, "set", "left")
         return sizes.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).cast("int").alias("most"))
 
+    def possible(self, nodes: DataFrame) -> DataFrame:
+        """Pairs of different labels of nodes (node, label) that bounds() was asked for, whose sets can be similar."""
+        # a key may be repeated with other texts, so sets are told apart by a hash of their own
+        own = stored(self.kept.join(nodes, "node").withColumn("set", F.xxhash64("node", "h")).dropDuplicates(["set"]), "open-sets")
+        met = possible_pairs(own.select(F.col("set").alias("node"), "label", "h"), math.floor(100 * self.similarity))
+        x, y = (own.select(F.col("set").alias(c), F.col("node").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+        return met.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
     def similar(self, met: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least `similarity`."""
         similarity, kind = self.similarity, dict(met.dtypes)["a"]
@@ -274,7 +284,9 @@ class ShingleSets:
         return met.select("a", "b", "ha", "hb").mapInArrow(agree, f"a {kind}, b {kind}")
 
 
-def linked_at_anchors(visits: DataFrame, decide: Callable[[DataFrame], DataFrame], bounds: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+def linked_at_anchors(
+    visits: DataFrame, decide: Callable[[DataFrame], DataFrame], bounds: Callable[[DataFrame], DataFrame], similarity: float, pairs: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """node and label (least node of the group) of each linked node, from anchor visits (anchor, node; no repeats).
 
     decide keeps the pairs (a, b) that are linked. Any two visitors of an anchor are decided, unless links found before
@@ -283,7 +295,8 @@ def linked_at_anchors(visits: DataFrame, decide: Callable[[DataFrame], DataFrame
     2. Of anchors that still hold several groups, bounds gives each visitor's size and the most that it can share with
        any other visitor there. Who can't reach the similarity leaves; the rest is compared with the visitor that shares
        most of its own, which of many edited copies is the least edited one.
-    3. The pairs of different groups that are left are decided, where both bounds allow the similarity.
+    3. The pairs of different groups that are left are decided: those that `pairs` gives for the nodes and labels that
+       are left, or without it those of each anchor where both bounds allow the similarity.
     """
     total = (visits := stored(visits, "anchor-visits")).count()
     shared = stored(visits.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-anchors")
@@ -311,7 +324,8 @@ def linked_at_anchors(visits: DataFrame, decide: Callable[[DataFrame], DataFrame
     live = _open_visits(live.drop("label"), labels, total)
     if live is None:
         return labels
-    met = stored(_open_pairs(live, similarity, total).distinct().join(seen, ["a", "b"], "left_anti"), "met-pairs")
+    met = pairs(stored(live.select("node", "label").distinct(), "open-labels")) if pairs else _open_pairs(live, similarity, total).distinct()
+    met = stored(met.join(seen, ["a", "b"], "left_anti"), "met-pairs")
     found = stored(decide(met).select("a", "b"), "similar-links")
     return labels if found.isEmpty() else connected_components(edges.union(found))
 
@@ -362,7 +376,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
     classes = stored(own.where(F.col(key).isNotNull()).groupBy("s").agg(F.min(key).alias("node"), F.first("anchors").alias("anchors")), "shingle-classes")
     visits = classes.select("node", F.explode("anchors").alias("anchor")).distinct()
     sets = ShingleSets(docs, words, similarity, text, key)
-    labels = linked_at_anchors(visits, sets.similar, sets.bounds, similarity)
+    labels = linked_at_anchors(visits, sets.similar, sets.bounds, similarity, sets.possible)
     named = stored(classes.join(labels, "node", "left").select("s", F.coalesce("label", "node").alias("component_id")), "shingle-groups")
     return join_unique(own.select(key, "s"), named, ["s"], how="left").select(key, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
 
