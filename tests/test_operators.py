@@ -216,5 +216,7 @@ def test_geojson_and_json(spark):
 
     df = spark.createDataFrame([position(1, 5, (1.0, 2.0)), position(0, 5, (3.0, 4.0))], POSITION)
     text = io.to_geojson(W.track_linestring(df), "p").first().value
-    assert json.loads(text) == {"mmsi": 5, "geojson": {"type": "geojson", "data": {"type": "Feature", "properties": {}, "geometry": {"type": "LineString", "coordinates": [[3.0, 4.0], [1.0, 2.0]]}}}, "payload": "p"}
+    assert json.loads(text) == {"payload": "p", "mmsi": "5", "geoSourceData": {"type": "geojson", "data": {"type": "Feature", "properties": {}, "geometry": {"type": "LineString", "coordinates": [[3.0, 4.0], [1.0, 2.0]]}}}}
     assert json.loads(io.to_json_records(df.select("mmsi"), "q").first().value) == {"mmsi": 5, "payload": "q"}
+    nothing = df.select("mmsi", F.lit(None).cast("double").alias("cog"))
+    assert json.loads(io.to_json_records(nothing, "q").first().value) == {"mmsi": 5, "cog": None, "payload": "q"}

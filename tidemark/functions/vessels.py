@@ -93,6 +93,12 @@ def utc_time(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
 
+def time_text(ts: Column) -> Column:
+    """A time as text, with six digits of a second only where it is no whole second."""
+    whole, micros = F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.date_format(ts, "SSSSSS")
+    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
+
+
 def epoch_ms_to_ts(ms: Column) -> Column:
     """UTC time without zone; independent of the session's time zone."""
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(ms / 1000).cast("decimal(18,6)"))

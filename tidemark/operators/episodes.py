@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,10 +23,66 @@ def located(positions: DataFrame) -> DataFrame:
 
 
 def tag_zones(positions: DataFrame, zones: DataFrame) -> DataFrame:
-    """One row for each position and zone that strictly holds it; zones is a catalogue of a few rings."""
-    lon, lat = F.col("longitude"), F.col("latitude")
-    inside = in_box(lon, lat, F.col("bbox")) & within(lon, lat, F.col("edges"))
-    return positions.join(F.broadcast(zones.select("zone", "edges", "bbox")), inside).drop("edges", "bbox")
+    """One row for each position and zone that strictly holds it, by the grid cells that cover the zones.
+
+    zones: a catalogue of any number of rings (zone, edges, bbox), each zone once. Each zone is covered by cells of a
+    size that suits its own (zone_cells); positions are joined to the cells they lie in, once for each size there is. A
+    cell within a zone needs no test, one on its boundary brings the zone's edges. Positions without coordinates lie in
+    no zone.
+    """
+    cells = zone_cells(zones)
+    found = cells.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("edges"), F.lit(0))).alias("edges")).collect()
+    levels = sorted(r.level for r in found)
+    small = sum(60 * r.n + 40 * max(r.edges, 0) for r in found) <= SENT
+    cells = F.broadcast(cells) if small else cells.hint("merge")
+    rows = located(positions)
+    if not levels:
+        return rows.withColumn("zone", F.lit(None).cast("int")).limit(0)
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), *[_cell(F.col(c), k).alias(n) for c, n in (("longitude", "cx"), ("latitude", "cy"))]) for k in levels]))
+    met = rows.withColumn("__at", at).select("*", "__at.*").drop("__at").join(cells, ["level", "cx", "cy"]).drop("level", "cx", "cy")
+    held = F.col("edges").isNull() | within(F.col("longitude"), F.col("latitude"), F.col("edges"))
+    return met.where(held).drop("edges")
+
+
+#: Cells of a zone along the longer side of its envelope: from half as many to this number, and one more.
+CELLS = 16
+#: Bytes of cells, at 60 each and 40 for each edge, up to which they are sent to all tasks; more are joined by a shuffle.
+SENT = 16 << 20
+#: Cell sizes are powers of two from the first to the last of these exponents, in degrees.
+FINEST, COARSEST = -20, 5
+
+
+def _cell(x: Column, level: Column | int) -> Column:
+    return F.floor(x / (F.lit(2.0**level) if isinstance(level, int) else F.pow(F.lit(2.0), level))).cast("long")
+
+
+def zone_cells(zones: DataFrame) -> DataFrame:
+    """zone, level, cx, cy and edges of the grid cells that hold some of a zone; edges are null where no ring crosses the cell.
+
+    A cell is 2 ** level degrees wide. The cell's four corners and centre lie on the same side of each edge that doesn't
+    cross it, so an uncrossed cell lies within the zone if its centre does, and is left out if not.
+    """
+    box = F.col("bbox")
+    extent = F.greatest(box["max_lon"] - box["min_lon"], box["max_lat"] - box["min_lat"])
+    level = F.when(extent > 0, F.ceil(F.log2(extent / CELLS)).cast("int")).otherwise(F.lit(FINEST))
+    rows = zones.select("zone", "edges", "bbox", F.least(F.greatest(level, F.lit(FINEST)), F.lit(COARSEST)).alias("level"))
+    span = lambda low, high: F.explode(F.sequence(_cell(box[low], F.col("level")), _cell(box[high], F.col("level"))))
+    rows = rows.withColumn("cx", span("min_lon", "max_lon")).withColumn("cy", span("min_lat", "max_lat"))
+    size = F.pow(F.lit(2.0), F.col("level"))
+    west, south = F.col("cx") * size, F.col("cy") * size
+    east, north = west + size, south + size
+
+    def crosses(e: Column) -> Column:
+        """Does the edge meet the closed cell? The envelopes overlap and not all corners lie strictly on one side of the line."""
+        apart = (F.least(e["x1"], e["x2"]) > east) | (F.greatest(e["x1"], e["x2"]) < west) | (F.least(e["y1"], e["y2"]) > north) | (F.greatest(e["y1"], e["y2"]) < south)
+        side = [(e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"]) for x in (west, east) for y in (south, north)]
+        # an edge this near counts as crossing, so that rounding never does away with a test
+        near = (F.abs(e["x2"] - e["x1"]) + F.abs(e["y2"] - e["y1"])) * (size * 1e-9 + 1e-12)
+        return ~apart & ~((F.least(*side) > near) | (F.greatest(*side) < -near))
+
+    rows = rows.withColumn("crossed", F.exists("edges", crosses))
+    inner = within((west + east) / 2, (south + north) / 2, F.col("edges"))
+    return rows.where(F.col("crossed") | inner).select("zone", "level", "cx", "cy", F.when(F.col("crossed"), F.col("edges")).alias("edges"))
 
 
 def zone_episodes(positions: DataFrame, zones: DataFrame, tie: str = "event_id") -> DataFrame:

@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vessels import default_text, lane_short_name
+from ..functions.vessels import default_text
 from ..operators.filters import in_zones, open_episodes
-from ..sources.zones import LANE_IDS, LANES, SECTORS
+from ..sources.zones import LANE_IDS, SECTORS
 
 BOARD_SECTORS = (1, 2, 3, 4, 5, 6)
 _SHORT = {10: "North", 11: "South"}
 
 
 def sector_lane_rows(episodes: DataFrame, sectors=SECTORS, lanes=LANE_IDS) -> DataFrame:
-    """Open lane episodes of vessels that are open in a sector, once for each such sector, with sector and lane."""
-    opened = open_episodes(episodes)
-    in_sector = in_zones(opened, sectors).select("mmsi", F.col("zone").alias("sector")).distinct()
-    return in_zones(opened, lanes).withColumnRenamed("zone", "lane").join(in_sector, "mmsi")
+    """Open lane episodes of vessels that are open in a sector, once for each such sector, with sector and lane.
+
+    One pass: a vessel's open episodes in the few zones asked for meet in one row, so episodes are worked out once.
+    """
+    opened = in_zones(open_episodes(episodes), [*sectors, *lanes])
+    fields = [c for c in opened.columns if c not in ("mmsi", "zone")]
+    in_sector, in_lane = F.col("zone").isin(*sectors) if sectors else F.lit(False), F.col("zone").isin(*lanes) if lanes else F.lit(False)
+    vessels = opened.groupBy("mmsi").agg(F.collect_set(F.when(in_sector, F.col("zone"))).alias("sectors"), F.collect_list(F.when(in_lane, F.struct(F.col("zone").alias("lane"), *fields))).alias("rows"))
+    return vessels.select("mmsi", "sectors", F.explode("rows").alias("x")).select("mmsi", "x.*", F.explode("sectors").alias("sector"))
 
 
 def in_sector_and_lane(episodes: DataFrame, sector: int, lane: int) -> DataFrame:
@@ -63,13 +68,3 @@ def ship_type_breakdown(episodes: DataFrame, static: DataFrame, sectors=SECTORS,
 
 def bar_totals(breakdown: DataFrame) -> DataFrame:
     return breakdown.groupBy("ShipType").agg(F.sum("Count").alias("Total")).orderBy("ShipType")
-
-
-def lane_names() -> dict[int, str]:
-    return {z: name for z, (name, _) in LANES.items()}
-
-
-def lane_labels(df: DataFrame) -> DataFrame:
-    """df with the short name of its lane."""
-    names = F.create_map(*[x for z, n in lane_names().items() for x in (F.lit(z), F.lit(n.removeprefix("TSS-")))])
-    return df.withColumn("lane_name", lane_short_name(names[F.col("lane")]))

@@ -75,6 +75,26 @@ def gps_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(ms, F.lit(1).alias("msgtype"), "mmsi", "sog", "cog", "rot", F.col("trueHeading").alias("heading"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), "event_id")
 
 
+def static_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A static message at the time of each order, with a callsign of its own."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") + 533000000).alias("mmsi"), F.col("o_orderkey").alias("message_id"), F.col("o_orderdate").alias("at"))
+    ms = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("at").cast("timestamp_ntz")) * 1000
+    static = vessel_static(spark, sf_dir).drop("callsign")
+    return orders.join(static, "mmsi").select("*", ms.alias("ts"), F.concat(F.lit("M"), F.col("message_id").cast("string")).alias("callsign")).drop("at")
+
+
+def verb_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all verbs for every vessel, some of them twice, and malformed ones."""
+    vessels = vessel_static(spark, sf_dir).select(F.col("mmsi").cast("string").alias("m"))
+    line = lambda f: vessels.select(f(F.col("m")).alias("value"))
+    verbs = ("playback:", "playbackGps:", "vessel-info:", "all-vessel:", "playback:", "playback:x", "stop:", "vessel-info", "")
+    out = None
+    for verb in verbs:
+        rows = line(lambda m, v=verb: F.concat(F.lit(v), m))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 def requests(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
     """A playback line for each vessel, or each tenth one, and as many malformed ones."""
     vessels = vessel_static(spark, sf_dir).where(F.col("mmsi") % every == 0).select("mmsi")
@@ -113,3 +133,8 @@ def oracle_episodes(zones, rows: str = "positions") -> str:
          arg_max(longitude, rn) AS longitude, arg_max(latitude, rn) AS latitude, arg_max(rot, rn) AS rot, arg_max(cog, rn) AS cog,
          arg_max(sog, rn) AS sog, arg_max("trueHeading", rn) AS "trueHeading", zone
   FROM islands GROUP BY mmsi, zone, g)"""
+
+
+ORACLE_MESSAGES = """static_messages AS (
+  SELECT s.mmsi, o.o_orderkey AS message_id, o.o_orderdate AS ts, s."shipType", s."shipName", s.imo, 'M' || o.o_orderkey AS callsign, s.to_bow, s.to_stern, s.to_port, s.to_starboard
+  FROM orders o JOIN vessel_static s ON s.mmsi = 533000000 + o.o_custkey)"""

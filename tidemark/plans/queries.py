@@ -16,9 +16,11 @@ from ..sources import io
 from ..sources.schemas import EPISODE, POSITION
 from ..sources.store import fresh_path, stored
 from ..sources.zones import REGIONS, read_geojson_zones, region_box, region_envelopes, ring_mean, swap_axes, zone_catalog, zone_rings
+from ..streaming import stale as Z
 from ..streaming import trackers as T
 from . import boards as B
 from . import fixtures as X
+from . import requests as R
 from . import sts as S
 from . import views as W
 
@@ -155,11 +157,21 @@ def episode_upsert(spark, sf_dir):
     return io.upsert_episodes(early, changes).select("mmsi", "zone", "tsDetected", "tsCurrent", "tsOut")
 
 
-@query(" UNION ALL ".join(f"""SELECT '{r}' AS region, round(min(x1) - {w}e0, 6) AS min_lon, round(min(y1) - {s}e0, 6) AS min_lat, round(max(x1) + {e}e0, 6) AS max_lon, round(max(y1) + {n}e0, 6) AS max_lat
-  FROM (WITH {X.oracle_edges(z)} SELECT * FROM edges WHERE (SELECT count(*) FROM customer) > 0)""" for r, (z, w, e, n, s) in REGIONS.items()))
+_boxes = " UNION ALL ".join(f"""SELECT '{r}' AS region, min(x1) - {w}e0 AS min_lon, min(y1) - {s}e0 AS min_lat, max(x1) + {e}e0 AS max_lon, max(y1) + {n}e0 AS max_lat
+  FROM edges WHERE zone IN ({', '.join(map(str, z))})""" for r, (z, w, e, n, s) in REGIONS.items())
+
+
+@query(f"""{WITH_P}, {X.oracle_edges(ALL_ZONES)}, boxes AS ({_boxes})
+ SELECT region, round(min_lon, 6) AS min_lon, round(min_lat, 6) AS min_lat, round(max_lon, 6) AS max_lon, round(max_lat, 6) AS max_lat, count(*) AS reports, count(DISTINCT mmsi) AS vessels
+ FROM boxes JOIN positions ON longitude > min_lon AND longitude < max_lon AND latitude > min_lat AND latitude < max_lat GROUP BY ALL""")
 def zone_envelopes(spark, sf_dir):
-    rows = region_envelopes(spark).where(F.lit(not spark.read.parquet(f"{sf_dir}/customer.parquet").isEmpty()))
-    return rows.select("region", *[F.round(c, 6).alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")])
+    """The padded envelope of each region with the reports and vessels inside it."""
+    boxes = region_envelopes(spark)
+    corners = ("min_lon", "min_lat", "max_lon", "max_lat")
+    # three regions are fixed, so each report is tested by an array of their boxes and not joined
+    held = F.filter(F.array(*[F.struct(F.lit(r).alias("region"), *[F.lit(v).alias(c) for c, v in zip(corners, region_box(r), strict=True)]) for r in REGIONS]), lambda b: G.in_box(F.col("longitude"), F.col("latitude"), b))
+    hits = X.positions(spark, sf_dir).select("mmsi", F.explode(held).alias("b")).groupBy("b.region").agg(F.count(F.lit(1)).alias("reports"), F.countDistinct("mmsi").alias("vessels"))
+    return hits.join(F.broadcast(boxes), "region").select("region", *[F.round(c, 6).alias(c) for c in corners], "reports", "vessels")
 
 
 @query(f"""{WITH_P}, {X.oracle_tags(ALL_ZONES)}, hit AS (SELECT zone, count(*) AS hits FROM tags GROUP BY zone),
@@ -442,13 +454,25 @@ def consecutive_dedup(spark, sf_dir):
 
 
 # the same text as Spark writes it: no spaces, shortest numbers
-GEOJSON = """'{"mmsi":' || mmsi || ',"geojson":{"type":"geojson","data":{"type":"Feature","properties":{},"geometry":{"type":"LineString","coordinates":['
- || string_agg('[' || longitude || ',' || latitude || ']', ',' ORDER BY ts, event_id) || ']}}},"payload":"playback-geojson"}'"""
+def _line_json(lon: str = "longitude", lat: str = "latitude") -> str:
+    return f"""'{{"payload":"playback-data-geojson","mmsi":"' || mmsi || '","geoSourceData":{{"type":"geojson","data":{{"type":"Feature","properties":{{}},"geometry":{{"type":"LineString","coordinates":['
+ || string_agg('[' || {lon} || ',' || {lat} || ']', ',' ORDER BY ts, event_id) || ']}}}}}}}}'"""
+
+
+GEOJSON = _line_json()
+TRACK_JSON = """'{"m_ts":"' || strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') || '","m_mmsi":"' || mmsi || '","m_long":' || longitude || ',"m_lat":' || latitude
+ || ',"m_sog":' || sog || ',"m_cog":' || cog || ',"cmap":0,"payload":"playback"}'"""
+GPS_JSON = """'{"m_ts":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","m_mmsi":"' || mmsi || '","m_long":' || longitude || ',"m_lat":' || latitude
+ || ',"m_rot":' || rot || ',"m_cog":' || cog || ',"cmap":0,"payload":"playback"}'"""
+ALL_JSON = """'{"m_ts":"' || strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') || '","m_mmsi":"' || mmsi || '","m_long":' || longitude || ',"m_lat":' || latitude
+ || ',"m_cog":' || cog || ',"payload":"all-vessel"}'"""
+INFO_JSON = """'{"m_ts":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","m_mmsi":"' || mmsi || '","m_shiptype":"' || "shipType" || '","m_shipname":"' || "shipName" || '","m_imo":"' || imo || '","m_callsign":"' || callsign
+ || '","m_toStarboard":"' || to_starboard || '","m_toPort":"' || to_port || '","m_toStern":"' || to_stern || '","m_toBow":"' || to_bow || '","payload":"vessel-info"}'"""
 
 
 @query(f"{WITH_P} SELECT mmsi, {GEOJSON} AS value FROM positions GROUP BY mmsi")
 def track_geojson(spark, sf_dir):
-    return io.to_geojson(W.track_linestring(X.positions(spark, sf_dir)), "playback-geojson")
+    return io.to_geojson(W.track_linestring(X.positions(spark, sf_dir)), "playback-data-geojson")
 
 
 @query(f"{WITH_P} SELECT mmsi, count(*) AS n, round(arg_min(longitude, (ts, event_id)), 6) AS first_lon, round(arg_max(latitude, (ts, event_id)), 6) AS last_lat FROM positions GROUP BY mmsi")
@@ -457,41 +481,81 @@ def track_points(spark, sf_dir):
     return lines.select("mmsi", F.size("points").cast("bigint").alias("n"), F.round(F.get("points", 0)["lon"], 6).alias("first_lon"), F.round(F.element_at("points", -1)["lat"], 6).alias("last_lat"))
 
 
-@query(f"""{WITH_P} SELECT '{{"m_ts":"' || strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') || '","m_mmsi":"' || mmsi || '","m_long":' || longitude || ',"m_lat":' || latitude
- || ',"m_sog":' || sog || ',"m_cog":' || cog || ',"cmap":"track","payload":"playback-data"}}' AS value FROM positions""")
+@query(f"{WITH_P} SELECT {TRACK_JSON} AS value FROM positions")
 def json_records(spark, sf_dir):
-    records = W.playback_records(X.positions(spark, sf_dir))
-    return io.to_json_records(records.drop("payload"), "playback-data")
+    return io.to_json_records(W.playback_records(X.positions(spark, sf_dir)).drop("payload"), "playback")
 
 
-RECORDS = "strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS m_ts, CAST(mmsi AS VARCHAR) AS m_mmsi, longitude AS m_long, latitude AS m_lat, sog AS m_sog, cog AS m_cog"
+PLACE = "CAST(mmsi AS VARCHAR) AS m_mmsi, longitude AS m_long, latitude AS m_lat"
+LOCAL = "strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS m_ts"
+NEWEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY ts DESC, event_id DESC) AS n FROM positions WHERE mmsi > 0) WHERE n = 1)"
 
 
-@query(f"{WITH_P} SELECT {RECORDS}, 'track' AS cmap, 'playback-data' AS payload FROM positions")
+@query(f"{WITH_P} SELECT {LOCAL}, {PLACE}, sog AS m_sog, cog AS m_cog, 0 AS cmap, 'playback' AS payload FROM positions")
 def playback_records(spark, sf_dir):
     return W.playback_records(X.positions(spark, sf_dir))
 
 
-@query(f"{WITH_P} SELECT {RECORDS}, 'all' AS cmap, 'all-vessel' AS payload FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY ts DESC, event_id DESC) AS n FROM positions WHERE mmsi > 0) WHERE n = 1 AND CAST(mmsi AS VARCHAR) LIKE '53300000%'")
-def all_vessel_latest(spark, sf_dir):
-    return W.all_vessel_latest(X.positions(spark, sf_dir), "53300000")
+@query(f"{WITH_P} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS m_ts, {PLACE}, rot AS m_rot, cog AS m_cog, 0 AS cmap, 'playback' AS payload FROM positions WHERE sog <> 0")
+def gps_records(spark, sf_dir):
+    return W.gps_records(X.gps_positions(spark, sf_dir))
 
 
-@query(f"{WITH_P} SELECT {RECORDS}, 'all' AS cmap, 'all-vessel' AS payload FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY ts DESC, event_id DESC) AS n FROM positions WHERE mmsi > 0) WHERE n = 1")
+@query(f"{WITH_P} SELECT {LOCAL}, {PLACE}, cog AS m_cog, 'all-vessel' AS payload FROM {NEWEST}")
 def every_vessel_latest(spark, sf_dir):
     return W.all_vessel_latest(X.positions(spark, sf_dir))
 
 
+INFO = f"""{X.ORACLE_STATIC}, {X.ORACLE_MESSAGES}, info AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY ts DESC, message_id DESC) AS n FROM static_messages) WHERE n = 1)"""
+
+
+@query(f"""WITH {INFO} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS m_ts, CAST(mmsi AS VARCHAR) AS m_mmsi, CAST("shipType" AS VARCHAR) AS m_shiptype, "shipName" AS m_shipname, CAST(imo AS VARCHAR) AS m_imo, callsign AS m_callsign,
+  CAST(to_starboard AS VARCHAR) AS "m_toStarboard", CAST(to_port AS VARCHAR) AS "m_toPort", CAST(to_stern AS VARCHAR) AS "m_toStern", CAST(to_bow AS VARCHAR) AS "m_toBow", 'vessel-info' AS payload FROM info""")
+def vessel_info(spark, sf_dir):
+    """The newest static message of each vessel; messages come at the times of orders."""
+    return W.vessel_info(X.static_messages(spark, sf_dir))
+
+
+ANSWERS = f"""{WITH_P}, {INFO}, heard AS (SELECT * FROM positions WHERE mmsi IN (SELECT mmsi FROM vessel_static)), moving AS (SELECT * FROM heard WHERE sog <> 0),
+ answers AS (
+  SELECT 'playback:' || mmsi AS request, row_number() OVER (PARTITION BY mmsi ORDER BY ts, event_id) AS ord, {TRACK_JSON} AS message FROM heard
+  UNION ALL SELECT 'playback:' || mmsi, count(*) + 1, 'playback-data-done' FROM heard GROUP BY mmsi
+  UNION ALL SELECT 'playback:' || mmsi, count(*) + 2, {_line_json()} FROM heard GROUP BY mmsi
+  UNION ALL SELECT 'playbackGps:' || mmsi, row_number() OVER (PARTITION BY mmsi ORDER BY ts, event_id), {GPS_JSON} FROM moving
+  UNION ALL SELECT 'playbackGps:' || mmsi, count(*) + 1, 'playback-data-done' FROM moving GROUP BY mmsi
+  UNION ALL SELECT 'playbackGps:' || mmsi, count(*) + 2, {_line_json()} FROM moving GROUP BY mmsi
+  UNION ALL SELECT 'vessel-info:' || mmsi, 1, {INFO_JSON} FROM info
+  UNION ALL SELECT 'all-vessel', mmsi, {ALL_JSON} FROM {NEWEST}
+  UNION ALL SELECT 'all-vessel', 9223372036854775807, 'all-vessel-data-done')"""
+
+
+def _histories(spark, sf_dir) -> R.Histories:
+    return R.Histories(X.positions(spark, sf_dir), X.gps_positions(spark, sf_dir), X.static_messages(spark, sf_dir))
+
+
+@query(f"{ANSWERS} SELECT request, ord, message FROM answers")
+def request_answers(spark, sf_dir):
+    """All messages that answer lines of the four verbs for every vessel."""
+    return R.answers(X.verb_requests(spark, sf_dir), _histories(spark, sf_dir))
+
+
+@query(f"{ANSWERS} SELECT request, ord, message FROM answers")
+def stream_answers(spark, sf_dir):
+    """The same from lines that arrive as a stream of text in two batches."""
+    path, lines, checkpoint = (fresh_path(spark, n) for n in ("answers", "requests", "stream"))
+    write = T.answer_sink(_histories(spark, sf_dir), path)
+    half = F.pmod(F.xxhash64("value"), F.lit(2)) == 0
+    for rows in (X.verb_requests(spark, sf_dir).where(half & ~F.col("value").startswith("all-vessel")), X.verb_requests(spark, sf_dir).where(~half | F.col("value").startswith("all-vessel"))):
+        rows.write.mode("append").text(lines)
+        T.run_available(spark.readStream.text(lines), checkpoint, write, "append")
+    return spark.read.parquet(path).select("request", "ord", "message")
+
+
 @query(f"{WITH_P} SELECT date_trunc('second', ts) AS ts, mmsi, longitude, latitude, rot, cog FROM positions WHERE sog <> 0")
 def playback_gps(spark, sf_dir):
     return W.playback_gps(X.gps_positions(spark, sf_dir))
 
 
-@query(f"{WITH_PS} SELECT 'playback:' || p.mmsi AS value, p.event_id, p.mmsi FROM positions p JOIN vessel_static s ON s.mmsi = p.mmsi WHERE p.mmsi % 10 = 0")
-def playback_requests(spark, sf_dir):
-    return W.tracks_for_requests(X.requests(spark, sf_dir), X.positions(spark, sf_dir)).select("value", "event_id", "mmsi")
-
-
 @query(f"{WITH_PS} SELECT 'playback:' || p.mmsi AS value, p.event_id, p.mmsi FROM positions p JOIN vessel_static s ON s.mmsi = p.mmsi")
 def every_playback_request(spark, sf_dir):
     return W.tracks_for_requests(X.requests(spark, sf_dir, 1), X.positions(spark, sf_dir)).select("value", "event_id", "mmsi")
@@ -671,7 +735,7 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(path).select("mmsi", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-def _answered(spark, sf_dir, every: int = 10) -> DataFrame:
+def _answered(spark, sf_dir, every: int) -> DataFrame:
     """Request lines that arrive as text, answered from a static history."""
     path, lines = fresh_path(spark, "answers"), fresh_path(spark, "requests")
     X.requests(spark, sf_dir, every).write.text(lines)
@@ -680,11 +744,6 @@ def _answered(spark, sf_dir, every: int = 10) -> DataFrame:
     return spark.read.parquet(path).select(F.concat(F.lit("playback:"), F.col("mmsi").cast("string")).alias("value"), "event_id", "mmsi")
 
 
-@query(f"{WITH_PS} SELECT 'playback:' || p.mmsi AS value, p.event_id, p.mmsi FROM positions p JOIN vessel_static s ON s.mmsi = p.mmsi WHERE p.mmsi % 10 = 0")
-def stream_requests(spark, sf_dir):
-    return _answered(spark, sf_dir)
-
-
 @query(f"{WITH_PS} SELECT 'playback:' || p.mmsi AS value, p.event_id, p.mmsi FROM positions p JOIN vessel_static s ON s.mmsi = p.mmsi")
 def every_stream_request(spark, sf_dir):
     return _answered(spark, sf_dir, 1)
@@ -731,3 +790,29 @@ def stream_stale_close(spark, sf_dir):
     log.write(-1, E.zone_episodes(P.within_box(X.positions(spark, sf_dir), BOX), zone_catalog(spark, (0,))))
     T.run_available(T.latest_position_stream(_whole_stream(spark, sf_dir)), fresh_path(spark, "stream"), write)
     return log.read().select("mmsi", "zone", "tsDetected", "tsOut")
+
+
+DUE = '"tsDetected" + INTERVAL 5 DAY'
+
+
+@query(f"""{NEAR}, {X.oracle_episodes((0,), 'near')}, ended AS (SELECT max(ts) AS ended FROM positions), places AS (SELECT mmsi, ts, event_id, NOT ({IN_BOX}) AS outside FROM positions),
+ judged AS (SELECT e.mmsi, e.zone, e."tsDetected", e."tsOut", (SELECT arg_max(p.outside, (p.ts, p.event_id)) FROM places p WHERE p.mmsi = e.mmsi AND p.ts <= e.{DUE}) AS gone,
+   (SELECT min(p.ts) FROM places p WHERE p.mmsi = e.mmsi AND p.ts > e.{DUE} AND p.outside) AS later FROM episodes e)
+ SELECT mmsi, zone, "tsDetected", least("tsOut", CASE WHEN gone AND {DUE} <= (SELECT ended FROM ended) THEN {DUE} WHEN NOT gone THEN later END) AS "tsOut" FROM judged""")
+def stream_stale_timers(spark, sf_dir):
+    """Episodes closed as they fall due in four micro-batches, though their vessels may say nothing more."""
+    seen, tracked, closings, checkpoint = (fresh_path(spark, n) for n in ("positions", "episodes", "closings", "stream"))
+    positions = X.positions(spark, sf_dir).to(POSITION)
+    episodes = stored(E.zone_episodes(P.within_box(positions, BOX), zone_catalog(spark, (0,))), "episodes")
+    first, last = positions.agg(F.min("ts"), F.max("ts")).first()
+    keep = lambda df, n: df.write.mode("overwrite").parquet(f"{closings}/n={n}")
+    for k in range(4):
+        between = lambda c, k=k: (F.col(c) >= first + k * (last - first) / 4) & ((F.col(c) < first + (k + 1) * (last - first) / 4) | F.lit(k == 3))
+        positions.where(between("ts")).write.mode("append").parquet(seen)
+        # the tracker tells of an episode when it begins and again when it ends
+        begun = episodes.where(between("tsDetected")).withColumn("tsOut", F.lit(None).cast("timestamp_ntz"))
+        begun.union(episodes.where(between("tsOut"))).write.mode("append").parquet(tracked)
+        found = Z.stale_closings(io.stream_positions(spark, seen), spark.readStream.schema(EPISODE).parquet(tracked), BOX)
+        with Z.rocksdb(spark):
+            T.run_available(found, checkpoint, keep, "append")
+    return Z.with_closings(episodes, spark.read.parquet(closings)).select("mmsi", "zone", "tsDetected", "tsOut")

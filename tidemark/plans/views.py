@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vessels as V
 from ..functions.geo import heading_triangle
 from ..operators import filters as P
-from ..operators.episodes import close_stale, latest_positions, newest_open, stale_vessels, zone_episodes
+from ..operators.episodes import close_stale, latest_positions, newest_open, zone_episodes
 from ..sources.io import upsert_episodes
 from ..sources.zones import region_box
 from .sts import with_static
@@ -73,20 +73,27 @@ def drop_consecutive_repeats(df: DataFrame, order: str = "event_id") -> DataFram
     return df.withColumn("__b", before).where(F.col("__b").isNull() | (F.col(order) - F.col("__b") != 1)).drop("__b")
 
 
-def playback_records(history: DataFrame, cmap: str = "track", payload: str = "playback-data") -> DataFrame:
-    """Track samples with the names that the player expects."""
-    return history.select(
-        V.local_time(F.col("ts")).alias("m_ts"), F.col("mmsi").cast("string").alias("m_mmsi"), F.col("longitude").alias("m_long"), F.col("latitude").alias("m_lat"),
-        F.col("sog").alias("m_sog"), F.col("cog").alias("m_cog"), F.lit(cmap).alias("cmap"), F.lit(payload).alias("payload"),
-    )
+def _sample(ts: Column, longitude: str, latitude: str, *more: Column) -> list[Column]:
+    return [ts.alias("m_ts"), F.col("mmsi").cast("string").alias("m_mmsi"), F.col(longitude).alias("m_long"), F.col(latitude).alias("m_lat"), *more]
+
+
+def playback_records(history: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Track samples with the names that the player expects; times are local. keep: columns to go along."""
+    more = F.col("sog").alias("m_sog"), F.col("cog").alias("m_cog"), F.lit(0).alias("cmap"), F.lit("playback").alias("payload")
+    return history.select(*keep, *_sample(V.local_time(F.col("ts")), "longitude", "latitude", *more))
 
 
 def playback_gps(gps: DataFrame) -> DataFrame:
     """Moving GPS samples as positions: epoch milliseconds become UTC times."""
     rows = P.moving(gps)
-    return rows.select(V.epoch_ms_to_ts(F.col("ts")).alias("ts"), "mmsi", F.col("lng").alias("longitude"), F.col("lat").alias("latitude"), "rot", "cog") if "rot" in rows.columns else rows.select(
-        V.epoch_ms_to_ts(F.col("ts")).alias("ts"), "mmsi", F.col("lng").alias("longitude"), F.col("lat").alias("latitude"), "cog"
-    )
+    more = ["rot"] if "rot" in rows.columns else []
+    return rows.select(V.epoch_ms_to_ts(F.col("ts")).alias("ts"), "mmsi", F.col("lng").alias("longitude"), F.col("lat").alias("latitude"), *more, "cog")
+
+
+def gps_records(gps: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Moving GPS samples with the names that the player expects: UTC times, and the rate of turn instead of the speed."""
+    more = F.col("rot").alias("m_rot"), F.col("cog").alias("m_cog"), F.lit(0).alias("cmap"), F.lit("playback").alias("payload")
+    return P.moving(gps).select(*keep, *_sample(V.time_text(V.epoch_ms_to_ts(F.col("ts"))), "lng", "lat", *more))
 
 
 def tracks_for_requests(requests: DataFrame, history: DataFrame) -> DataFrame:
@@ -96,16 +103,31 @@ def tracks_for_requests(requests: DataFrame, history: DataFrame) -> DataFrame:
     return history.join(asked, "mmsi")
 
 
-def all_vessel_latest(positions: DataFrame, prefix: str | None = None) -> DataFrame:
+def all_vessel_latest(positions: DataFrame, prefix: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each vessel's newest position as records."""
     latest = latest_positions(P.valid_mmsi(positions, positive=True))
-    return playback_records(P.by_mmsi_prefix(latest, prefix) if prefix else latest, "all", "all-vessel")
+    latest = P.by_mmsi_prefix(latest, prefix) if prefix else latest
+    return latest.select(*keep, *_sample(V.local_time(F.col("ts")), "longitude", "latitude", F.col("cog").alias("m_cog"), F.lit("all-vessel").alias("payload")))
 
 
-def latest_static(messages: DataFrame, mmsi: int | None = None) -> DataFrame:
-    """The newest static message of each vessel."""
+def latest_static(messages: DataFrame, mmsi: int | None = None, tie: str | None = None) -> DataFrame:
+    """The newest static message of each vessel, by ts and then by tie."""
     rows = P.by_mmsi(messages, mmsi) if mmsi is not None else messages
-    return rows.groupBy("mmsi").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "mmsi"]), "ts").alias("x")).select("mmsi", "x.*")
+    newest = F.struct("ts", tie) if tie else F.col("ts")
+    return rows.groupBy("mmsi").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "mmsi"]), newest).alias("x")).select("mmsi", "x.*")
+
+
+#: Names of the static record, and the fields that they hold as text.
+INFO_FIELDS = {
+    "m_mmsi": "mmsi", "m_shiptype": "shipType", "m_shipname": "shipName", "m_imo": "imo", "m_callsign": "callsign",
+    "m_toStarboard": "to_starboard", "m_toPort": "to_port", "m_toStern": "to_stern", "m_toBow": "to_bow",
+}
+
+
+def vessel_info(messages: DataFrame, tie: str = "message_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The newest static message (ts in epoch ms) of each vessel as records; what a message doesn't say is null."""
+    fields = [F.col(c).cast("string").alias(n) for n, c in INFO_FIELDS.items()]
+    return latest_static(messages, tie=tie).select(*keep, V.time_text(V.epoch_ms_to_ts(F.col("ts"))).alias("m_ts"), *fields, F.lit("vessel-info").alias("payload"))
 
 
 def extract_history(source: DataFrame, mmsi: int, start: datetime, end: datetime) -> DataFrame:
@@ -136,7 +158,3 @@ def monitor_zone(positions: DataFrame, episodes: DataFrame, zones: DataFrame, as
     keep = lambda new, old: F.when(F.col("__since").isNotNull(), F.col(old)).otherwise(F.col(new))
     changes = joined.withColumns({"navStatus": keep("navStatus", "__ns"), "navStatusDesc": keep("navStatusDesc", "__nd"), "id": keep("id", "__id"), "tsDetected": keep("tsDetected", "__since")}).select(*episodes.columns)
     return close_stale(recent, upsert_episodes(episodes, changes), as_of, box)
-
-
-def stale_report(positions: DataFrame, episodes: DataFrame, as_of: datetime, region: str = "restricted") -> DataFrame:
-    return stale_vessels(positions, episodes, as_of, region_box(region))

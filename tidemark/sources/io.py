@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,18 +75,15 @@ def upsert_episodes(target: DataFrame, changes: DataFrame, keys: tuple[str, ...]
     return target.join(new, condition, "full_outer").select(*[pick(c).alias(c) for c in target.columns])
 
 
-def to_json_records(df: DataFrame, payload: str, columns: list[str] | None = None) -> DataFrame:
-    """One JSON text for each row, with a payload tag."""
-    return df.select(F.to_json(F.struct(*(columns or df.columns), F.lit(payload).alias("payload"))).alias("value"))
+def to_json_records(df: DataFrame, payload: str, columns: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One JSON text (value) for each row, nulls as null, with a payload tag at its end; keep: columns to go along beside it."""
+    return df.select(*keep, F.to_json(F.struct(*(columns or df.columns), F.lit(payload).alias("payload")), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def to_geojson(tracks: DataFrame, payload: str, points: str = "points") -> DataFrame:
-    """mmsi and value, a GeoJSON LineString wrapped with mmsi and payload; points is array<struct<lon,lat>>."""
+def to_geojson(tracks: DataFrame, payload: str, points: str = "points", keep: tuple[str, ...] = ()) -> DataFrame:
+    """mmsi and value: the message that brings a vessel's track as a map source; points is array<struct<lon,lat>>."""
     line = F.struct(F.lit("LineString").alias("type"), F.transform(points, lambda p: F.array(p["lon"], p["lat"])).alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), F.create_map().cast("map<string,string>").alias("properties"), line.alias("geometry"))
-    data = F.struct(F.lit("geojson").alias("type"), feature.alias("data"))
-    return tracks.select("mmsi", F.to_json(F.struct(F.col("mmsi"), data.alias("geojson"), F.lit(payload).alias("payload"))).alias("value"))
-
-
-def box_of(values: tuple[float, float, float, float]) -> Column:
-    return F.struct(*[F.lit(v).alias(n) for v, n in zip(values, ("min_lon", "min_lat", "max_lon", "max_lat"), strict=True)])
+    source = F.struct(F.lit("geojson").alias("type"), feature.alias("data"))
+    message = F.struct(F.lit(payload).alias("payload"), F.col("mmsi").cast("string").alias("mmsi"), source.alias("geoSourceData"))
+    return tracks.select("mmsi", *keep, F.to_json(message).alias("value"))

@@ -11,9 +11,9 @@ from pyspark.sql.window import Window
 from ..functions.geo import in_box, within
 from ..functions.vessels import split_command
 from ..operators.episodes import FIRST, close_stale, latest_positions, located, zone_episodes
-from ..sources.io import upsert_episodes
+from ..plans.requests import Histories, answers
 from ..sources.schemas import EPISODE, POSITION
-from ..sources.store import EpisodeLog, SnapshotStore
+from ..sources.store import EpisodeLog
 from ..sources.zones import zone_catalog, zone_rings, zone_row
 
 
@@ -76,20 +76,6 @@ def episode_sink(spark: SparkSession, path: str, zones) -> tuple[EpisodeLog, Cal
     return log, write
 
 
-def upsert_sink(spark: SparkSession, path: str) -> tuple[SnapshotStore, Callable[[DataFrame, int], None]]:
-    """A snapshot store of episodes and the foreachBatch function that upserts changes into it; repeated batches change nothing.
-
-    Each batch rewrites the whole table: for tables of open episodes, or small ones.
-    """
-    store = SnapshotStore(spark, path, EPISODE)
-
-    def write(changes: DataFrame, batch: int) -> None:
-        rows = changes.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("tsDetected", "tsCurrent", "tsOut")})
-        store.write(upsert_episodes(store.previous(batch), rows.select(*EPISODE.names)), batch)
-
-    return store, write
-
-
 def run_available(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "update") -> None:
     """Runs a stream over what is there now and waits for its end."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
@@ -115,18 +101,31 @@ def request_stream(requests: DataFrame, history: DataFrame) -> DataFrame:
     return asked.join(history, "mmsi")
 
 
+def answer_sink(histories: Histories, path: str) -> Callable[[DataFrame, int], None]:
+    """The foreachBatch function that answers the request lines (value) of a batch, of all verbs, into a folder of its own."""
+
+    def write(requests: DataFrame, batch: int) -> None:
+        answers(requests, histories).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return write
+
+
 def stale_sink(spark: SparkSession, path: str, box: tuple[float, float, float, float], days: float = 5) -> tuple[EpisodeLog, Callable[[DataFrame, int], None]]:
     """A log of episodes and the foreachBatch function for newest positions that closes stale ones in it.
 
-    Positions come from latest_position_stream; the newest time among them is the clock, so a run can be repeated.
+    Positions come from latest_position_stream; the newest time so far is the clock, so a run can be repeated. The log
+    keeps the last position of each vessel, so those that a batch doesn't mention are judged too. stale.stale_closings
+    does the same by timers, at the time when an episode falls due and not at that of the next batch.
     """
     log = EpisodeLog(spark, path)
 
     def write(latest: DataFrame, batch: int) -> None:
-        now = latest.agg(F.max("ts").cast("timestamp_ntz")).first()[0]
+        rows = latest.withColumn("ts", F.col("ts").cast("timestamp_ntz")).to(POSITION)
+        known = latest_positions(log.last.previous(batch).unionByName(rows)).persist()
+        now = known.agg(F.max("ts")).first()[0]
         if now is not None:
-            rows = latest.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-            log.write(batch, close_stale(rows, log.open.previous(batch), now, box, days))
+            log.write(batch, close_stale(known, log.open.previous(batch), now, box, days), known)
+        known.unpersist()
 
     return log, write
 
