@@ -68,3 +68,17 @@ def ship_type_breakdown(episodes: DataFrame, static: DataFrame, sectors=SECTORS,
 
 def bar_totals(breakdown: DataFrame) -> DataFrame:
     return breakdown.groupBy("ShipType").agg(F.sum("Count").alias("Total")).orderBy("ShipType")
+
+
+#: Registers of a vessel sketch, as a power of two: a standard error of 1.04 / sqrt(2 ** SKETCH), 0.8 %.
+SKETCH = 14
+
+
+def vessel_sketches(tagged: DataFrame) -> DataFrame:
+    """zone, day and vessels, a HyperLogLog sketch of the vessels with reports in a zone on a day: what boards merge."""
+    return tagged.groupBy("zone", F.to_date("ts").alias("day")).agg(F.hll_sketch_agg("mmsi", SKETCH).alias("vessels"))
+
+
+def merged_vessels(sketches: DataFrame, *by: str) -> DataFrame:
+    """The estimated number of distinct vessels over all sketches of each group; the order of merging doesn't matter."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("vessels")).alias("vessels"))

@@ -13,6 +13,7 @@ from ..operators import episodes as E
 from ..operators import filters as P
 from ..operators.proximity import proximity_pairs, proximity_set
 from ..sources import io
+from ..sources.repoll import repoll_positions
 from ..sources.schemas import EPISODE, POSITION
 from ..sources.store import fresh_path, stored
 from ..sources.zones import REGIONS, read_geojson_zones, region_box, region_envelopes, ring_mean, swap_axes, zone_catalog, zone_rings
@@ -268,6 +269,30 @@ def heading_triangle(spark, sf_dir):
     return X.positions(spark, sf_dir).select("event_id", *named)
 
 
+def _geodesic(rounds: int) -> str:
+    """CTEs g0, g1, ... of Vincenty's direct solution over positions, and geo(event_id, la, lo)."""
+    f, b2 = G.WGS84[1], 1 - G.WGS84[1]
+    parts = [f"""g AS (SELECT event_id, longitude, radians(cog) AS z, sog * 1852e0 AS s, {b2!r}e0 * tan(radians(latitude)) AS tu FROM positions),
+ h AS (SELECT *, 1 / sqrt(1 + tu * tu) AS cu, tu / sqrt(1 + tu * tu) AS su, atan2(tu, cos(z)) AS s1, sin(z) / sqrt(1 + tu * tu) AS sa FROM g),
+ i AS (SELECT *, 1 - sa * sa AS c2, (1 - sa * sa) * {(1 - b2**2) / b2**2!r}e0 AS u FROM h),
+ j AS (SELECT *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS aa, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS bb FROM i),
+ k0 AS (SELECT *, s / ({G.WGS84[0] * b2!r}e0 * aa) AS q, s / ({G.WGS84[0] * b2!r}e0 * aa) AS q0 FROM j)"""]
+    for n in range(rounds):
+        parts.append(f"""m{n} AS (SELECT *, cos(2 * s1 + q) AS m FROM k{n}), k{n + 1} AS (SELECT * EXCLUDE (q, m),
+ q0 + bb * sin(q) * (m + bb / 4 * (cos(q) * (2 * m * m - 1) - bb / 6 * m * (4 * sin(q) * sin(q) - 3) * (4 * m * m - 3))) AS q FROM m{n})""")
+    c = f"({f / 16!r}e0 * c2 * (4 + {f!r}e0 * (4 - 3 * c2)))"
+    parts.append(f"""geo AS (SELECT event_id, degrees(atan2(su * cos(q) + cu * sin(q) * cos(z), {b2!r}e0 * sqrt(sa * sa + power(su * sin(q) - cu * cos(q) * cos(z), 2)))) AS la,
+ longitude + degrees(atan2(sin(q) * sin(z), cu * cos(q) - su * sin(q) * cos(z)) - (1 - {c}) * {f!r}e0 * sa * (q + {c} * sin(q) * (cos(2 * s1 + q) + {c} * cos(q) * (2 * power(cos(2 * s1 + q), 2) - 1)))) AS lo FROM k{rounds})""")
+    return ", ".join(parts)
+
+
+@query(f"{WITH_P}, {_geodesic(6)} SELECT event_id, round(la, 8) AS lat2, round(lo, 8) AS lon2 FROM geo")
+def geodesic_point(spark, sf_dir):
+    """Where each vessel will be in an hour on its course, on the ellipsoid."""
+    lat, lon = G.geodesic_point(F.col("latitude"), F.col("longitude"), F.col("sog") * 1852.0, F.col("cog"))
+    return X.positions(spark, sf_dir).select("event_id", F.round(lat, 8).alias("lat2"), F.round(lon, 8).alias("lon2"))
+
+
 DWELL = f"""{WITH_PS}, {X.oracle_episodes((0,))}, open AS (SELECT * FROM episodes WHERE "tsOut" IS NULL)"""
 
 
@@ -333,6 +358,12 @@ def ship_type_bars(spark, sf_dir):
     return B.bar_totals(B.ship_type_breakdown(_episodes(spark, sf_dir, MOVING_ZONES), X.vessel_static(spark, sf_dir)))
 
 
+@query(f"{WITH_P}, {X.oracle_tags(ALL_ZONES)} SELECT zone, count(DISTINCT mmsi) AS vessels FROM positions JOIN tags USING (event_id) GROUP BY zone")
+def zone_vessel_estimate(spark, sf_dir):
+    """Vessels by zone from merged daily sketches; they are exact while a zone has few vessels for a sketch's registers."""
+    return B.merged_vessels(B.vessel_sketches(E.tag_zones(X.positions(spark, sf_dir), zone_catalog(spark))), "zone")
+
+
 # proximity and transfers ---------------------------------------------------------------------------------------------
 
 NEAR_PAIRS = f"""{WITH_P}, {X.oracle_episodes((0,))}, open AS (SELECT * FROM episodes WHERE "tsOut" IS NULL), pairs AS (
@@ -443,6 +474,14 @@ def track_markers(spark, sf_dir):
     return W.track_markers(X.positions(spark, sf_dir)).select("mmsi", "samples", "first_ts", "middle_ts", "last_ts", "middle_longitude")
 
 
+@query(f"""{INDEXED}, pieces AS (SELECT *, idx // 50 AS piece FROM ix UNION ALL SELECT *, idx // 50 - 1 FROM ix WHERE idx > 0 AND idx % 50 = 0)
+ SELECT mmsi, CAST(piece AS BIGINT) AS piece, string_agg('[' || longitude || ',' || latitude || ']', ',' ORDER BY idx) AS points FROM pieces GROUP BY mmsi, piece""")
+def track_pieces(spark, sf_dir):
+    """Tracks in pieces of fifty points, each with the first point of the next."""
+    text = F.array_join(F.transform("points", lambda p: F.concat(F.lit("["), p["lon"].cast("string"), F.lit(","), p["lat"].cast("string"), F.lit("]"))), ",")
+    return W.track_pieces(X.positions(spark, sf_dir), 50).select("mmsi", "piece", text.alias("points"))
+
+
 ARRIVALS = "SELECT event_id, date_trunc('month', ts) AS ts, 533000000 + CAST(FLOOR(event_id / 3) AS BIGINT) % 5 AS mmsi FROM events"
 
 
@@ -816,3 +855,17 @@ def stream_stale_timers(spark, sf_dir):
         with Z.rocksdb(spark):
             T.run_available(found, checkpoint, keep, "append")
     return Z.with_closings(episodes, spark.read.parquet(closings)).select("mmsi", "zone", "tsDetected", "tsOut")
+
+
+@query(f"{WITH_P} SELECT event_id, ts, mmsi, longitude FROM positions")
+def stream_repolled(spark, sf_dir):
+    """All positions from a table that grows between three runs; each run goes on after the newest report of the last."""
+    table, out, checkpoint = (fresh_path(spark, n) for n in ("table", "polled", "stream"))
+    keep = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/n={n}")
+
+    rows = X.positions(spark, sf_dir).to(POSITION)
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(3):
+        rows.where((F.col("ts") >= first + k * (last - first) / 3) & ((F.col("ts") < first + (k + 1) * (last - first) / 3) | F.lit(k == 2))).write.mode("append").parquet(table)
+        T.run_available(repoll_positions(spark, table), checkpoint, keep, "append")
+    return spark.read.parquet(out).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "mmsi", "longitude")

@@ -63,6 +63,18 @@ def track_linestring(df: DataFrame, tie: str = "event_id") -> DataFrame:
     return df.groupBy("mmsi").agg(F.transform(ordered, lambda p: F.struct(p["longitude"].alias("lon"), p["latitude"].alias("lat"))).alias("points"))
 
 
+def track_pieces(df: DataFrame, most: int = 1_000, tie: str = "event_id") -> DataFrame:
+    """mmsi, piece (from 0) and points: tracks of any length in pieces of at most `most` points and the first of the next.
+
+    No row grows with its vessel's reports; joined end to end, without the repeated points, the pieces are track_linestring.
+    """
+    rows = track_index(df, tie).withColumn("piece", F.floor(F.col("idx") / most).cast("long"))
+    # the first point of a piece ends the one before it too
+    at = F.when((F.col("idx") > 0) & (F.col("idx") % most == 0), F.array(F.col("piece") - 1, F.col("piece"))).otherwise(F.array("piece"))
+    parts = rows.select("mmsi", F.explode(at).alias("piece"), F.struct("idx", "longitude", "latitude").alias("p")).groupBy("mmsi", "piece").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return parts.select("mmsi", "piece", F.transform("p", lambda p: F.struct(p["longitude"].alias("lon"), p["latitude"].alias("lat"))).alias("points"))
+
+
 def drop_consecutive_repeats(df: DataFrame, order: str = "event_id") -> DataFrame:
     """Rows but those equal in (ts, mmsi) to the row that arrived just before them.
 
