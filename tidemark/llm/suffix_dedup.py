@@ -77,7 +77,8 @@ class Anchors:
             h ^= h >> np.uint64(32)
             h *= np.uint64(0xD6E8FEB86659FD93)
             h ^= h >> np.uint64(29)
-        bits = np.uint64(max(1, int(n).bit_length()))
+        # as many bits as any place in a buffer takes, so that grams are ordered alike in slices of every size
+        bits = np.uint64(int(self.buffer).bit_length())
         low = (np.uint64(1) << bits) - np.uint64(1)
         least = self._least((h & ~low) | np.arange(len(h), dtype=np.uint64))
         counts = sizes[full] - self.length + 1
