@@ -87,13 +87,15 @@ class LineRuns:
             level += 1
 
     def settled(self) -> DataFrame:
-        """Keys counted in at least min_docs documents, with n; stored, as the runs are dropped from the catalogue."""
+        """Keys counted in at least min_docs documents, with n, stored apart from the runs."""
         runs = [run for level in self.levels for run in level]
         with _sorted_scans(self.spark):
-            found = stored(self._merged(runs).where(F.col("n") >= self.min_docs), "settled")
-        for name in self.tables:
-            self.spark.sql(f"DROP TABLE {name}")
-        return found
+            return stored(self._merged(runs).where(F.col("n") >= self.min_docs), "settled")
+
+    def drop(self) -> None:
+        """Takes the runs out of the catalogue; what settled() gave stays."""
+        while self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop()}")
 
 
 def _hash_lines(docs: DataFrame, text: str, key: str, least: int, batches: int) -> DataFrame:
@@ -163,9 +165,12 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, batch
     columns = docs.columns
     lines = stored(_hash_lines(docs, text, key, least, batches), "lines")
     runs = LineRuns(spark, min_docs)
-    for b in range(batches):
-        runs.add(lines.where(F.col("batch") == b).select("h1", "h2"))
-    settled = runs.settled()
+    try:
+        for b in range(batches):
+            runs.add(lines.where(F.col("batch") == b).select("h1", "h2"))
+        settled = runs.settled()
+    finally:
+        runs.drop()
     if settled.count() <= most_sent:
         digests = {np.array([r.h1, r.h2], dtype=">i8").tobytes() for r in settled.toLocalIterator()}
         return _apply(docs, columns, text, spark.sparkContext.broadcast(digests))
