@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import MEAN_RADIUS, NAUTICAL_MILE, haversine_m
+from ..functions.geo import MEAN_RADIUS, NAUTICAL_MILE, haversine_m, meters_to_nm
 
 _DEGREE_M = math.pi * MEAN_RADIUS / 180
 
@@ -47,8 +47,8 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, condition: Co
 def proximity_pairs(df: DataFrame, radius_nm: float = 1.0) -> DataFrame:
     """Directed pairs of different vessels closer than radius_nm: mmsi, other and dist_nm."""
     radius = radius_nm * NAUTICAL_MILE
-    pairs = near_pairs(df, df, radius, (F.col("a.mmsi") != F.col("b.mmsi")) & (F.col("dist") / NAUTICAL_MILE < radius_nm))
-    return pairs.select(F.col("a.mmsi").alias("mmsi"), F.col("b.mmsi").alias("other"), (F.col("dist") / NAUTICAL_MILE).alias("dist_nm"))
+    pairs = near_pairs(df, df, radius, (F.col("a.mmsi") != F.col("b.mmsi")) & (meters_to_nm(F.col("dist")) < radius_nm))
+    return pairs.select(F.col("a.mmsi").alias("mmsi"), F.col("b.mmsi").alias("other"), meters_to_nm(F.col("dist")).alias("dist_nm"))
 
 
 def proximity_set(df: DataFrame, radius_nm: float = 1.0) -> DataFrame:

@@ -801,6 +801,19 @@ def stream_union(spark, sf_dir):
     return spark.read.parquet(path).groupBy("feed").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mmsi").alias("vessels"))
 
 
+@query(f"{WITH_P}, {X.oracle_episodes(ALL_ZONES)} SELECT {EPISODE_LIST} FROM episodes")
+def stream_union_episodes(spark, sf_dir):
+    """Two feeds as one stream into one tracker, in two batches that hold reports of both."""
+    log, write = T.episode_sink(spark, fresh_path(spark, "episodes"), ALL_ZONES)
+    paths, checkpoint = {f: fresh_path(spark, f"feed-{f}") for f in ("A", "B")}, fresh_path(spark, "stream")
+    rows = X.positions(spark, sf_dir).to(POSITION)
+    for half in (rows.where("day(ts) <= 15"), rows.where("day(ts) > 15")):
+        for f, path in paths.items():
+            half.where(F.col("feed") == f).write.mode("append").parquet(path)
+        T.run_available(T.union_feed_stream(*[io.stream_positions(spark, path) for path in paths.values()]), checkpoint, write, "append")
+    return log.read().select(EPISODE_COLUMNS)
+
+
 @query(BOARD_ROW)
 def refreshed_board(spark, sf_dir):
     """The board as the second of two refreshes leaves it, each on all positions that have arrived."""
