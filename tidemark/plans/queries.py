@@ -834,6 +834,25 @@ def refreshed_board(spark, sf_dir):
     return found.where(F.col("n") == found.agg(F.max("n")).first()[0]).drop("n")
 
 
+@query(f"{BOARD} SELECT sector, lane, count(*) AS vessels FROM pairs GROUP BY sector, lane")
+def stream_board(spark, sf_dir):
+    """Counts by sector and lane kept by signed changes over three micro-batches."""
+    board, change = T.board_keeper(spark, fresh_path(spark, "board"))
+    _, write = T.episode_sink(spark, fresh_path(spark, "episodes"), MOVING_ZONES, change)
+    checkpoint = fresh_path(spark, "stream")
+    _in_batches(spark, X.positions(spark, sf_dir), lambda stream: T.run_available(stream, checkpoint, write, "append"))
+    return board.read()
+
+
+@query(f"{STS}, {_rounds(5)} SELECT array_to_string(list_sort(list_distinct(list(o.bm) || list(o.am))), '|') AS mmsi, o.am AS mmsi_, any_value(name) AS \"shipName\" FROM own o JOIN flagged f ON f.mmsi = o.bm GROUP BY o.am HAVING NOT bool_or(f.first < o.oa) AND bool_and({AT} - o.bts >= INTERVAL 1 HOUR)")
+def stream_transfers(spark, sf_dir):
+    """Transfers from the open episodes that two micro-batches leave, as a refresh finds them."""
+    log, write = T.episode_sink(spark, fresh_path(spark, "episodes"), (0,))
+    checkpoint = fresh_path(spark, "stream")
+    _in_batches(spark, X.positions(spark, sf_dir), lambda stream: T.run_available(stream, checkpoint, write, "append"), 2)
+    return T.transfers_now(log, X.vessel_static(spark, sf_dir), X.AS_OF).select("mmsi", "mmsi_", "shipName")
+
+
 @query(f"""{STALE} SELECT mmsi, zone, "tsDetected",
   CASE WHEN "tsOut" IS NULL AND "tsDetected" < (SELECT max(ts) FROM positions) - INTERVAL 5 DAY AND mmsi IN (SELECT mmsi FROM gone) THEN (SELECT max(ts) FROM positions) ELSE "tsOut" END AS "tsOut" FROM episodes""")
 def stream_stale_close(spark, sf_dir):

@@ -32,6 +32,7 @@ EPISODE = _schema(
     "id bigint, tsDetected timestamp_ntz, tsCurrent timestamp_ntz, tsOut timestamp_ntz, mmsi bigint, navStatus int, navStatusDesc string,"
     "longitude double, latitude double, rot double, cog double, sog double, trueHeading double, zone int"
 )
+BOARD = _schema("sector int, lane int, vessels bigint")
 ZONE = (
     _schema("zone int, name string, kind string")
     .add("ring", T.ArrayType(_doubles("lon", "lat")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,12 @@ from pyspark.sql.window import Window
 from ..functions.geo import in_box, within
 from ..functions.vessels import split_command
 from ..operators.episodes import FIRST, close_stale, latest_positions, located, zone_episodes
+from ..plans.boards import sector_lane_counts
 from ..plans.requests import Histories, answers
-from ..sources.schemas import EPISODE, POSITION
-from ..sources.store import EpisodeLog
-from ..sources.zones import zone_catalog, zone_rings, zone_row
+from ..plans.sts import detect_sts, restrict_view
+from ..sources.schemas import BOARD, EPISODE, POSITION
+from ..sources.store import EpisodeLog, SnapshotStore, stored
+from ..sources.zones import RESTRICTED, zone_catalog, zone_rings, zone_row
 
 
 def union_feed_stream(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -60,7 +63,11 @@ def advance(fresh: DataFrame, last: DataFrame, opened: DataFrame, zones: DataFra
     return joined.withColumns(kept).select(*EPISODE.names)
 
 
-def episode_sink(spark: SparkSession, path: str, zones) -> tuple[EpisodeLog, Callable[[DataFrame, int], None]]:
+#: What a sink is told of a batch: the open episodes of the vessels that changed, before and after it, and its number.
+Changed = Callable[[DataFrame, DataFrame, int], None]
+
+
+def episode_sink(spark: SparkSession, path: str, zones, changed: Changed | None = None) -> tuple[EpisodeLog, Callable[[DataFrame, int], None]]:
     """A log of episodes and the foreachBatch function for reports (ts as a timestamp) that keeps it; repeated batches change nothing."""
     log, catalogue = EpisodeLog(spark, path), zone_catalog(spark, tuple(zones))
 
@@ -69,6 +76,10 @@ def episode_sink(spark: SparkSession, path: str, zones) -> tuple[EpisodeLog, Cal
         fresh = new_reports(reports.withColumn("ts", F.col("ts").cast("timestamp_ntz")), last).persist()
         changes = advance(fresh, last, opened, catalogue).persist()
         others = opened.join(changes.select("mmsi", "zone").distinct(), ["mmsi", "zone"], "left_anti")
+        if changed:
+            vessels = changes.select("mmsi").distinct()
+            of = lambda episodes: episodes.where("tsOut IS NULL").join(vessels, "mmsi", "left_semi")
+            changed(of(opened), of(others.unionByName(changes)), batch)
         log.write(batch, others.unionByName(changes), latest_positions(last.unionByName(fresh)))
         changes.unpersist()
         fresh.unpersist()
@@ -76,6 +87,27 @@ def episode_sink(spark: SparkSession, path: str, zones) -> tuple[EpisodeLog, Cal
     return log, write
 
 
+def board_keeper(spark: SparkSession, path: str) -> tuple[SnapshotStore, Changed]:
+    """A store of the counts by sector and lane, and what keeps it by signed changes, to be given to episode_sink.
+
+    A batch costs the vessels that it changes: their rows before are taken off and those after are added. The board has
+    a row for each sector and lane with vessels; two snapshots are kept. A batch that runs again begins at the same one.
+    """
+    store = SnapshotStore(spark, path, BOARD)
+
+    def change(before: DataFrame, after: DataFrame, batch: int) -> None:
+        less = sector_lane_counts(before).withColumn("vessels", -F.col("vessels"))
+        cells = store.previous(batch).unionByName(sector_lane_counts(after)).unionByName(less)
+        store.write(cells.groupBy("sector", "lane").agg(F.sum("vessels").alias("vessels")).where("vessels <> 0"), batch)
+
+    return store, change
+
+
+def transfers_now(log: EpisodeLog, static: DataFrame, as_of: datetime) -> DataFrame:
+    """Transfers among the vessels that are open in the restricted zone now: the snapshot of open episodes is read, not their history."""
+    return detect_sts(stored(restrict_view(log.open.read().where(F.col("zone").isin(*RESTRICTED)), static, as_of), "restrict-view"), as_of)
+
+
 def run_available(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "update") -> None:
     """Runs a stream over what is there now and waits for its end."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
