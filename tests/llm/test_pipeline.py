@@ -11,7 +11,7 @@ import pytest
 from oracle import SMALL
 
 import corpus_pipeline
-from tidemark.llm import mixing, quality_qda, simhash
+from tidemark.llm import mixing, quality_qda
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -33,9 +33,8 @@ def without_lines(docs):
     return {i: (keep(t), s) for i, (t, s) in docs.items()}
 
 
-def one_of_each(docs, kept):
-    """kept, after a check: what it lacks goes by all pairs too, and of pairs with a Jaccard similarity of 0.8 one is gone."""
-    prints = {i: simhash.long_fingerprint(t.encode().lower().split(), 5) for i, (t, _) in docs.items()}
+def one_of_each(docs):
+    """The least id of each group of texts whose sets of five-word shingles have a Jaccard similarity of 0.8, by all pairs."""
     root = {i: i for i in docs}
 
     def find(i):
@@ -43,19 +42,17 @@ def one_of_each(docs, kept):
             i = root[i]
         return i
 
+    shingles = {}
+    for i, (t, _) in docs.items():
+        w = t.encode().lower().split()
+        shingles[i] = frozenset(b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
     ids = sorted(docs)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if int(np.bitwise_count(prints[a] ^ prints[b]).sum()) <= 51:
+            if shingles[a] == shingles[b] or len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    assert {i for i in ids if find(i) == i} <= kept
-    shingles = {}
-    for i in kept:
-        w = docs[i][0].encode().lower().split()
-        shingles[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
-    assert not [(a, b) for a in kept for b in kept if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
-    return {i: d for i, d in docs.items() if i in kept}
+    return {i: d for i, d in docs.items() if find(i) == i}
 
 
 def unit(*parts):
@@ -87,8 +84,7 @@ def plain(spark):
     docs = {r.doc_id: (r.text, r.source) for r in rows}
     steps = [good(docs, labels)]
     steps.append(without_lines(steps[-1]))
-    lined = spark.createDataFrame([(i, *d) for i, d in steps[-1].items()], "doc_id long, text string, source string")
-    steps.append(one_of_each(steps[-1], {r.doc_id for r in simhash.keep_one_of_each(lined).collect()}))
+    steps.append(one_of_each(steps[-1]))
     return steps, mixed(steps[-1])
 
 

@@ -159,8 +159,6 @@ def simhash_groups(docs: DataFrame, words: int = 3, threshold: int = 2, text: st
     return join_unique(own, groups, ["fp"], classes).select(key, "fp", "component_id")
 
 
-#: Bits of the long fingerprints, which estimate a similarity; groups are decided by exact ones.
-BITS = 256
 #: Anchors of a text, and minimal hashes of its shingles that make one. Texts of a Jaccard similarity j share none with
 #: probability (1 - j ** DEPTH) ** BANDS, however they differ: 3e-6 at 0.8, 1e-8 at 0.85.
 BANDS, DEPTH = 32, 5
@@ -171,17 +169,6 @@ PAIR_BLOCK = 512
 MOST_SENT = 1 << 20
 
 
-def long_fingerprint(words: list[bytes], size: int) -> np.ndarray:
-    """BITS-bit SimHash of the distinct shingles of `size` words, as bytes; zero for no words."""
-    grams = set(words) if size == 1 else {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-    counts = np.zeros(BITS, dtype=np.int64)
-    grams = list(grams)
-    for at in range(0, len(grams), 65_536):
-        data = b"".join([xxhash.xxh3_128_digest(g) + xxhash.xxh3_128_digest(g, 1) for g in grams[at : at + 65_536]])
-        counts += np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(-1, BITS // 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(grams))
-
-
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of `words` words; a shorter text is one shingle, without words none."""
     w = text.lower().split()
