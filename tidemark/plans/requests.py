@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 
 from ..functions import vessels as V
 from ..operators import filters as P
-from ..operators.episodes import latest_positions
 from ..sources.io import to_geojson, to_json_records
 from ..sources.store import stored
 from .views import all_vessel_latest, gps_records, playback_records, track_linestring, vessel_info
