@@ -91,3 +91,22 @@ def test_log_of_last_positions_closes_silent_vessels(spark, tmp_path):
     for n, reports in enumerate(batches):
         write(spark.createDataFrame([tuple(x.get(f.name) for f in POSITION) for x in reports], POSITION), n)
     assert [(r.mmsi, r.tsOut) for r in log.read().where(F.col("zone") == 0).collect()] == [(1, day(6))]
+
+
+def test_vessels_share_buckets(spark, tmp_path):
+    """State has a row for each bucket and not for each vessel; of two reports at one time the larger event_id is last."""
+    seen, tracked, out = (str(tmp_path / n) for n in ("seen", "tracked", "out"))
+    places = [(m, d, OUT if m % 2 else IN) for m in range(1, 41) for d in (0, 2)] + [(99, 9, IN)]
+    rows = [report(spark, m, d, IN if d == 0 else place) for m, d, place in places]
+    # vessels 2 and 4 have one more report on day 2, before and after the one inside
+    rows += [report(spark, 2, 2, OUT) | {"event_id": 1}, report(spark, 4, 2, OUT) | {"event_id": 999}]
+    spark.createDataFrame([tuple(r.get(f.name) for f in POSITION) for r in rows], POSITION).write.parquet(seen)
+    opened = [tuple({"mmsi": m, "zone": 0, "tsDetected": day(0)}.get(f.name) for f in EPISODE) for m in range(1, 41)]
+    spark.createDataFrame(opened, EPISODE).write.parquet(tracked)
+    found = stale.stale_closings(io.stream_positions(spark, seen), spark.readStream.schema(EPISODE).parquet(tracked), BOX, buckets=3)
+    with stale.rocksdb(spark):
+        query = found.writeStream.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).foreachBatch(lambda df, n: df.write.parquet(f"{out}/n={n}")).start()
+        query.awaitTermination()
+    assert {(r.mmsi, r.tsOut) for r in spark.read.parquet(out).collect()} == {(m, day(5)) for m in range(1, 41) if m % 2 or m == 4}
+    # three buckets, and at most a timer with its index for each
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3 * 4
