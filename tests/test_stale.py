@@ -110,3 +110,11 @@ def test_vessels_share_buckets(spark, tmp_path):
     assert {(r.mmsi, r.tsOut) for r in spark.read.parquet(out).collect()} == {(m, day(5)) for m in range(1, 41) if m % 2 or m == 4}
     # three buckets, and at most a timer with its index for each
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3 * 4
+
+
+def test_batches_are_planned_by_the_tracker(spark):
+    """A stream's own session has no adaptive execution."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.adaptive.enabled", "false")
+    held = trackers._arrived(spark, other.range(5))
+    assert held.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true" and held.count() == 5

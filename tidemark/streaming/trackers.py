@@ -16,7 +16,7 @@ from ..plans.boards import sector_lane_counts
 from ..plans.requests import Histories, answers
 from ..plans.sts import detect_sts, restrict_view
 from ..sources.schemas import BOARD, EPISODE, POSITION
-from ..sources.store import EpisodeLog, SnapshotStore, stored
+from ..sources.store import EpisodeLog, SnapshotStore, fresh_path, stored
 from ..sources.zones import RESTRICTED, zone_catalog, zone_rings, zone_row
 
 
@@ -63,6 +63,17 @@ def advance(fresh: DataFrame, last: DataFrame, opened: DataFrame, zones: DataFra
     return joined.withColumns(kept).select(*EPISODE.names)
 
 
+def _arrived(spark: SparkSession, batch: DataFrame) -> DataFrame:
+    """A batch as a stored table of the given session.
+
+    A stream plans in a session of its own without adaptive execution, where each shuffle has as many tasks as are set
+    however few rows a batch brings, and what is joined to a batch there follows.
+    """
+    path = fresh_path(spark, "reports")
+    batch.write.parquet(path)
+    return spark.read.schema(batch.schema).parquet(path)
+
+
 #: What a sink is told of a batch: the open episodes of the vessels that changed, before and after it, and its number.
 Changed = Callable[[DataFrame, DataFrame, int], None]
 
@@ -73,16 +84,15 @@ def episode_sink(spark: SparkSession, path: str, zones, changed: Changed | None
 
     def write(reports: DataFrame, batch: int) -> None:
         opened, last = log.open.previous(batch), log.last.previous(batch)
-        fresh = new_reports(reports.withColumn("ts", F.col("ts").cast("timestamp_ntz")), last).persist()
-        changes = advance(fresh, last, opened, catalogue).persist()
+        # stored and not cached: the plan of a cached table keeps all its shuffle tasks
+        fresh = stored(new_reports(_arrived(spark, reports.withColumn("ts", F.col("ts").cast("timestamp_ntz"))), last), "new-reports")
+        changes = stored(advance(fresh, last, opened, catalogue), "changed-episodes")
         others = opened.join(changes.select("mmsi", "zone").distinct(), ["mmsi", "zone"], "left_anti")
         if changed:
             vessels = changes.select("mmsi").distinct()
             of = lambda episodes: episodes.where("tsOut IS NULL").join(vessels, "mmsi", "left_semi")
             changed(of(opened), of(others.unionByName(changes)), batch)
         log.write(batch, others.unionByName(changes), latest_positions(last.unionByName(fresh)))
-        changes.unpersist()
-        fresh.unpersist()
 
     return log, write
 
