@@ -517,3 +517,13 @@ def test_similar_groups_are_exact(spark):
     assert 20 < sum(near) < 180
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, [*texts, "end"])).collect()}
     assert [got[2 * g] == got[2 * g + 1] for g in range(len(near))] == near
+
+
+def test_near_copies_meet_by_covered_fingerprints(spark):
+    """Nodes whose SimHashes the covering code links, over others too, visit one anchor; those by themselves none."""
+    rows = [(1, 0), (2, 0b11), (3, 0b1111), (4, 0b1111), (5, -1), (6, 0x0F0F0F), (7, -4)]
+    found = simhash.covered_visits(spark.createDataFrame(rows, "node long, fp long"))
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r.anchor, set()).add(r.node)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 4], [5, 7]]

@@ -197,19 +197,33 @@ class MinHashes:
 
 
 def _shingled(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
-    """key, s (128-bit hash of the set of shingles) and anchors of each whole text."""
+    """key, s (128-bit hash of the set of shingles), fp (SimHash) and anchors of each whole text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minima = MinHashes()
         for part in text_slices(parts, 1):
-            digests, anchors = [], []
+            digests, fps, anchors = [], [], []
             for t in text_bytes(part.column(1)):
                 hashes = shingle_hashes(t, words)
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                fps.append(fingerprint(t, words))
                 anchors.append(minima.anchors(hashes))
-            yield pa.record_batch([part.column(0), pa.array(digests, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], names=[key, "s", "anchors"])
+            fp = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+            yield pa.record_batch([part.column(0), pa.array(digests, pa.binary()), fp, pa.array(anchors, pa.list_(pa.int64()))], names=[key, "s", "fp", "anchors"])
 
-    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, s binary, anchors array<long>")
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, s binary, fp long, anchors array<long>")
+
+
+def covered_visits(classes: DataFrame, threshold: int = 2) -> DataFrame:
+    """Visits (anchor, node) of the nodes whose fingerprints (fp) the covering code links: one for each node of a group of several.
+
+    Groups are the connected components of fingerprints within `threshold` bits, as in simhash_groups.
+    """
+    sizes = stored(classes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "covered-fingerprints")
+    labels = connected_components(stored(link_fingerprints(sizes, threshold), "fingerprint-links"))
+    groups = sizes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").where("n > 1 OR label IS NOT NULL")
+    groups = stored(groups.select("fp", F.xxhash64(F.lit("fp"), F.coalesce("label", "fp")).alias("anchor"), "n"), "covered-groups")
+    return join_unique(classes.select("node", "fp"), groups.select("fp", "anchor"), ["fp"], groups).select("anchor", "node")
 
 
 class ShingleSets:
@@ -351,8 +365,9 @@ def _open_pairs(live: DataFrame, similarity: float, total: int) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and component_id of each row, linking texts whose sets of shingles have a Jaccard similarity of at least `similarity`.
 
-    Candidates are texts that share one of BANDS anchors, each made of minimal hashes of their shingles. Whether two
-    texts meet depends on the similarity of their shingle sets alone, not on where or how they differ. Any two visitors
+    Candidates are texts whose SimHashes are in one group of the covering code (covered_visits), and texts that share one
+    of BANDS anchors, each made of minimal hashes of their shingles: near copies whose SimHashes are further apart than a
+    sparse code covers meet there. Whether two texts meet depends on the similarity of their shingle sets alone, not on where or how they differ. Any two visitors
     of an anchor are compared by their sets of 64-bit shingle hashes, in one group already, or too full of shingles that
     nobody shares (linked_at_anchors).
 
@@ -360,8 +375,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
     no component (null). Repeated rows share one. Other columns are not read. An empty table gives no rows.
     """
     own = stored(_shingled(docs, words, text, key), "shingled")
-    classes = stored(own.where(F.col(key).isNotNull()).groupBy("s").agg(F.min(key).alias("node"), F.first("anchors").alias("anchors")), "shingle-classes")
-    visits = classes.select("node", F.explode("anchors").alias("anchor")).distinct()
+    classes = stored(own.where(F.col(key).isNotNull()).groupBy("s").agg(F.min_by(F.struct(F.col(key).alias("node"), "fp", "anchors"), F.struct(key, "fp")).alias("x")).select("s", "x.*"), "shingle-classes")
+    visits = classes.select(F.explode("anchors").alias("anchor"), "node").union(covered_visits(classes)).distinct()
     sets = ShingleSets(docs, words, similarity, text, key)
     labels = linked_at_anchors(visits, sets.similar, sets.bounds, similarity, sets.possible)
     named = stored(classes.join(labels, "node", "left").select("s", F.coalesce("label", "node").alias("component_id")), "shingle-groups")
