@@ -129,3 +129,34 @@ def test_possible_pairs_lose_none(spark, block):
                 if both and 100 * both >= 80 * (len(p) + len(rows[j][2]) - both):
                     similar.add((j, i))
     assert similar and similar <= set(found) and len(found) < pairs / 2
+
+
+def test_rounds_make_no_more_pairs_than_texts(spark, monkeypatch):
+    """Copies edited at places of their own share most postings, each list with a leader of its own."""
+    rnd = random.Random(31)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        for at in rnd.sample(range(300), 6):
+            copy[at] = f"edit{rnd.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    made, similar = [], minhash.FullSets.similar
+    monkeypatch.setattr(minhash.FullSets, "similar", lambda self, met: (made.append(met.count()), similar(self, met))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert max(made[: minhash.ROUNDS]) <= len(texts)
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(297)} for t in texts]
+    root = list(range(120))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(120):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert got == {i: find(i) for i in range(120)}

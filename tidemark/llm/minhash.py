@@ -11,8 +11,8 @@ So only prefixes are merged. Of those that meet in one, collisions are counted o
 MATCHES or more are decided by their full sets.
 
 Texts of equal sets are one class from the start. A posting list may still hold thousands of edited copies, so its
-visitors are first compared with one of them, the one whose postings most others share, which of many edited copies is
-the least edited. Visitors of lists that hold several groups after that are paired by their full sets (setjoin): a pair
+visitors choose one of them, the one whose postings most others share, which of many edited copies is the least edited;
+each text is compared with the most central of those that its lists chose. Visitors of lists that hold several groups after that are paired by their full sets (setjoin): a pair
 is made only if the elements that both can share suffice.
 """
 
@@ -164,9 +164,11 @@ def link_groups(lists: DataFrame, sets: FullSets, percent: int) -> DataFrame:
     for _ in range(ROUNDS):
         # the most central visitor that is in no group of an earlier leader of this posting
         to = F.max(F.struct("weight", F.xxhash64("node").alias("h"), "node", "label"))
-        lead = live.where("NOT led").groupBy("post").agg(to.alias("x")).select("post", F.col("x.node").alias("to"), F.col("x.label").alias("other"))
+        lead = live.where("NOT led").groupBy("post").agg(to.alias("x")).select("post", F.col("x.node").alias("to"), F.col("x.label").alias("other"), F.col("x.weight").alias("central"))
         lead = stored(lead.join(live.groupBy("post").agg(F.count(F.lit(1)).alias("n")), "post"), "leaders")
-        met = join_apart(live, lead, ["post"], total).where("label <> other").select(*_pair("node", "to")).distinct()
+        # a node meets the most central of its postings' leaders and not each of them, so a round makes no more pairs than nodes
+        best = F.max(F.struct("central", F.xxhash64("to").alias("h"), "to"))["to"].alias("to")
+        met = join_apart(live, lead, ["post"], total).where("label <> other").groupBy("node").agg(best).select(*_pair("node", "to")).distinct()
         met = met if seen is None else met.join(seen, ["a", "b"], "left_anti")
         met = stored(met.join(a, "a").join(b, "b").where(_sizes_allow("na", "nb", percent) & collide).select("a", "b"), "met-pairs")
         seen = met if seen is None else seen.union(met)
