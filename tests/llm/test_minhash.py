@@ -160,3 +160,26 @@ def test_rounds_make_no_more_pairs_than_texts(spark, monkeypatch):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     assert got == {i: find(i) for i in range(120)}
+
+
+def test_a_family_gathers_at_its_origin(spark, monkeypatch):
+    """Copies of four edits are linked with their origin alone, whose signature many copies of one edit have too."""
+    rnd = random.Random(47)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(base)]
+    for edits in (1, 3, 4):
+        for _ in range(70):
+            copy = list(base)
+            for at in rnd.sample(range(3, 147, 4), edits):
+                copy[at] = f"edit{rnd.randrange(10**9)}"
+            texts.append(" ".join(copy))
+    made, stored = [], minhash.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        made.append(out.count() if name == "met-pairs" else 0)
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    check(spark, list(enumerate(texts)))
+    assert sum(made) <= (minhash.ROUNDS + 2) * len(texts)

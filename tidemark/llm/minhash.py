@@ -12,8 +12,10 @@ MATCHES or more are decided by their full sets.
 
 Texts of equal sets are one class from the start. A posting list may still hold thousands of edited copies, so its
 visitors choose one of them, the one whose postings most others share, which of many edited copies is the least edited;
-each text is compared with the most central of those that its lists chose. Visitors of lists that hold several groups after that are paired by their full sets (setjoin): a pair
-is made only if the elements that both can share suffice.
+each text is compared with the most central of those that its lists chose. In a large family many copies agree with its
+origin in all coordinates, and one that leads in its place leaves out what is similar to the origin alone. So visitors of
+lists that hold several groups after that are compared once more, each with the most central text by full sets, and only
+then paired by full sets (setjoin): a pair is made only if the elements that both can share suffice.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, join_apart, join_unique, stored, text_bytes, text_slices
 from .components import connected_components
-from .setjoin import possible_pairs
+from .setjoin import leader_pairs, pairs_between, prefix_elements
 
 #: Coordinates of a signature, and how many of them near copies agree in at least. Texts of similarity 0.8 miss it with
 #: probability 2e-8 (binomial), more similar ones more rarely.
@@ -110,6 +112,10 @@ class FullSets:
 
     def similar(self, met: DataFrame) -> DataFrame:
         """Those of the pairs (a, b), a stored table, whose sets have a Jaccard similarity of `percent` or more."""
+        return self.decided(met, self.of(met.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+
+    def decided(self, met: DataFrame, sets: DataFrame) -> DataFrame:
+        """The same from the sets (node, h) of at least the nodes that are met."""
         percent = self.percent
 
         def agree(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +127,6 @@ class FullSets:
                     near.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield part.filter(pa.array(near, pa.bool_())).select(["a", "b"])
 
-        sets = self.of(met.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         # sets are too large to be sent to all tasks; the pairs of a node that many are compared with are split by adaptive execution
         met = met.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
         return met.select("a", "b", "ha", "hb").mapInArrow(agree, "a long, b long")
@@ -180,11 +185,18 @@ def link_groups(lists: DataFrame, sets: FullSets, percent: int) -> DataFrame:
         live = _open(join_apart(stored(new, "labelled-visits"), stored(of, "led-labels"), ["post"], total).withColumn("led", F.col("led") | (F.col("label") == F.col("of"))).drop("of"), total)
         if live.isEmpty():
             return labels
-    nodes = stored(live.select("node", "label").distinct(), "open-nodes")
-    open_sets = stored(sets.of(nodes.select("node")).dropDuplicates(["node"]).join(nodes, "node"), "open-sets")
-    met = stored(possible_pairs(open_sets, percent).join(seen, ["a", "b"], "left_anti"), "met-pairs")
-    found = stored(sets.similar(met), "similar-links")
-    return labels if found.isEmpty() else connected_components(edges.union(found))
+    nodes = stored(live.select("node").distinct(), "open-nodes")
+    open_sets = stored(sets.of(nodes).dropDuplicates(["node"]), "open-sets")
+    prefix = prefix_elements(open_sets, percent)
+    for pairs in (leader_pairs, pairs_between):
+        now = stored(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "open-labels")
+        met = stored(pairs(prefix, now, percent).join(seen, ["a", "b"], "left_anti"), "met-pairs")
+        seen = seen.union(met)
+        found = stored(sets.decided(met, open_sets), "similar-links")
+        if not found.isEmpty():
+            edges = edges.union(found)
+            labels = connected_components(edges)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
