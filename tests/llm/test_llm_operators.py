@@ -527,3 +527,12 @@ def test_near_copies_meet_by_covered_fingerprints(spark):
     for r in found.collect():
         groups.setdefault(r.anchor, set()).add(r.node)
     assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 4], [5, 7]]
+
+
+def test_packing_remembers_a_word_once():
+    """Neither case nor a stop makes another word of it, and ids are those of the library."""
+    tokens = packing.WordTokens(WORDS)
+    texts = ["Été été ÉTÉ. été, the The. THE, x", "ab%%% a.b 5. it's. 'll. a1b22c?! the,.\n the.\t the.", "\xa0the.\x85a \x0b b. ", "Œuvre. İx, Σς. the.", "", " ", ". , a", "it's the. 'S a@b.c-7. \x01\x7f"]
+    for text in texts:
+        assert np.frombuffer(tokens.ids(text), "<u4").tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+    assert {w for w in [*tokens, *tokens.new] if w.lower().rstrip(".,") == "été"} == {"été"}

@@ -31,6 +31,10 @@ LONGEST_REMEMBERED = 64
 PIECE = "__piece"
 #: Separators on which Python and the vocabulary's own white space disagree.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: A stop or comma between a letter and white space: a pre-token of its own, as if it stood alone.
+_STOP = re.compile("[.,](?<=[a-zß-öø-ÿ][.,])(?=[ \n])")
+#: Pre-tokens of a lower-case ASCII word without an apostrophe.
+_PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class WordTokens(dict):
@@ -38,7 +42,9 @@ class WordTokens(dict):
 
     Its splitting pattern never looks beyond white space, so a text's ids are those of its words one after another;
     words are given to the library when they are first met and remembered. A Latin word of letters alone is one
-    pre-token, and a stop or comma after it another, so these go straight to the library's merges.
+    pre-token, and a stop or comma after it another, so these go straight to the library's merges; so do the parts of
+    an ASCII word. Latin-1 texts are lower-cased as wholes (character by character, as the vocabulary does it) and their
+    stops parted from the words, so that a word is remembered once and not in each case and with each mark.
 
     Words met once wait in `new`, as most are not met again; those met twice are kept. Either memory is bounded: a full
     one becomes the older half, from which a word returns when it is met, and what was older goes.
@@ -82,12 +88,20 @@ class WordTokens(dict):
         if lower[-1] in ".," and len(word) > 1:
             return self[lower[:-1]] + self[lower[-1]] if _latin(lower[:-1]) else self._encode(word)
         if _latin(lower):
-            return array("I", [x.id for x in self.merge(lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+            return self._merged(lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.bytes))
+        if word.isascii() and "'" not in word:
+            parts = _PARTS.findall(lower)
+            return b"".join([self[x] for x in parts]) if len(parts) > 1 else self._merged(lower.translate(self.bytes))
         return self._encode(word)
 
+    def _merged(self, part: str) -> bytes:
+        return array("I", [x.id for x in self.merge(part)]).tobytes()
+
     def ids(self, text: str) -> bytes:
         if _ODD_SPACE.search(text) or any(x in text for x in self.special):
             return self._encode(text)
+        if _latin_1(text):
+            text = _STOP.sub(r" \g<0>", text.lower())
         return b"".join(map(self.__getitem__, text.split()))
 
 
@@ -95,6 +109,13 @@ def _latin(word: str) -> bool:
     return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
 
+def _latin_1(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 _tokens: dict[str, WordTokens] = {}
 
 
