@@ -519,6 +519,18 @@ def test_similar_groups_are_exact(spark):
     assert [got[2 * g] == got[2 * g + 1] for g in range(len(near))] == near
 
 
+def test_covering_sends_no_visits_to_all_tasks(spark):
+    """Visits are 61 times the fingerprints, which alone are small enough to be sent."""
+    rnd = random.Random(6)
+    fps = [rnd.getrandbits(64) - (1 << 63) for _ in range(3_000)]
+    fps += [x ^ 1 << rnd.randrange(63) ^ 1 << rnd.randrange(63) for x in fps[:200]]
+    fps = np.array(sorted(set(fps)), dtype=np.int64)
+    links = simhash.link_fingerprints(common.stored(spark.createDataFrame([(x,) for x in fps.tolist()], "fp long"), "fps"))
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    x, y = np.nonzero(np.triu(np.bitwise_count((fps[:, None] ^ fps[None]).view(np.uint64)) <= 2, 1))
+    assert {(r.a, r.b) for r in links.collect()} == set(zip(fps[x].tolist(), fps[y].tolist(), strict=True)) and len(x) > 100
+
+
 def test_near_copies_meet_by_covered_fingerprints(spark):
     """Nodes whose SimHashes the covering code links, over others too, visit one anchor; those by themselves none."""
     rows = [(1, 0), (2, 0b11), (3, 0b1111), (4, 0b1111), (5, -1), (6, 0x0F0F0F), (7, -4)]

@@ -126,6 +126,8 @@ def link_fingerprints(fps: DataFrame, threshold: int = 2, blocks: int | None = N
     visits = fps.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
     homes = visits.where("home").select("anchor", F.col("fp").alias("a"))
     guests = visits.select("anchor", F.col("fp").alias("b"))
+    # Spark takes the visits for as small as the fingerprints they are made of and would send them all, 61 times as many, to every task
+    guests = guests.hint("merge")
     # a point's anchor sees all within the threshold of it, so each pair is found at the smaller one's
     return homes.join(guests, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b").distinct()
 
