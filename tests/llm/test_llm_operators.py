@@ -292,6 +292,43 @@ def test_nearest_neighbours_of_repeated_rows_and_ids(spark):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out) == [(2, 1, 1, 1.0), (2, 2, 3, 1.0), (3, 1, 2, 1.0), (3, 2, 1, 2.0)]
 
 
+def test_nearest_neighbours_gives_small_batches(spark, monkeypatch):
+    """However many queries a batch holds, what is given out at once is bounded, and no query's vector goes along with each of its buckets."""
+    kind = type(spark.range(0))
+    given = kind.mapInArrow
+
+    def watched(df, f, schema):
+        def bounded(parts):
+            for part in f(parts):
+                assert part.nbytes < 6 << 20
+                yield part
+
+        return given(df, bounded, schema)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    x = np.random.default_rng(4).standard_normal((3_000, 64)).astype(np.float32)
+    out = ann.nearest_neighbours(vectors(spark, x), F.lit(True), k=3)
+    assert out.count() == 9_000
+
+
+@pytest.mark.parametrize("matrix", [40, 1 << 20])
+def test_nearest_of_a_block(monkeypatch, matrix):
+    """Only visited buckets are compared; many ties, and more pairs than are held at once, change nothing."""
+    monkeypatch.setattr(ann, "MATRIX", matrix)
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    rng = np.random.default_rng(6)
+    x, q = rng.integers(0, 3, (200, 4)).astype(np.float32), rng.integers(0, 3, (30, 4)).astype(float)
+    ids, bucket = rng.permutation(200), rng.integers(0, 6, 200).astype(np.int32)
+    visits = [rng.choice(9, rng.integers(0, 9), replace=False).astype(np.int32) for _ in q]
+    block = ann.Block([bucket[:50], bucket[50:]], [ids[:50], ids[50:]], [x[:50], x[50:]])
+    got = defaultdict(list)
+    for query, i, d in zip(*block.nearest(np.arange(100, 130), q, np.concatenate(visits), np.repeat(np.arange(30), [len(v) for v in visits]), 5), strict=True):
+        got[query - 100].append((d, i))
+    for j, v in enumerate(visits):
+        met = np.isin(bucket, v)
+        assert got[j] == sorted(zip(np.sqrt(((x[met] - q[j]) ** 2).sum(axis=1)), ids[met], strict=True))[:5]
+
+
 def groups(fps, ids, threshold):
     kinds = sorted(set(fps))
     root = {f: f for f in kinds}
