@@ -311,6 +311,17 @@ def test_nearest_neighbours_gives_small_batches(spark, monkeypatch):
     assert out.count() == 9_000
 
 
+def test_nearest_neighbours_of_split_parts(spark, monkeypatch):
+    """How vectors are dealt to parts and blocks, here of one bucket that fills many, changes nothing."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((900, 16)).astype(np.float32)
+    x[200:] = x[0] + rng.standard_normal((700, 16)).astype(np.float32) / 1_000
+    found = lambda: sorted(map(tuple, ann._searched(vectors(spark, x), F.col("vec_id") % 30 == 0, 10, "vec_id", "embedding").collect()))
+    whole = found()
+    monkeypatch.setattr(ann, "PART", 8 * 16 * 40)
+    assert found() == whole and len(whole) == 300
+
+
 @pytest.mark.parametrize("matrix", [40, 1 << 20])
 def test_nearest_of_a_block(monkeypatch, matrix):
     """Only visited buckets are compared; many ties, and more pairs than are held at once, change nothing."""
